@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from energraph.llm.copies import copies
+from energraph.llm.leaks import leaks
+from energraph.llm.sampling import stable_sample
 from energraph.llm.terms import term_frequencies
 from energraph.sources.tables import table
 
@@ -30,8 +33,68 @@ WITH rows AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms}
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenth of the questions, stable under reruns, layouts and later batches."""
+    return stable_sample(table(spark, folder, "questions"), "id", "batch", seed=42, block_size=20, per_block=2).withColumnRenamed("key", "id")
+
+
+_SAMPLE = """
+WITH ids AS (
+  SELECT id, min(batch) AS batch FROM questions WHERE id IS NOT NULL GROUP BY id
+), numbered AS (
+  SELECT id, CAST(batch AS BIGINT) AS batch, row_number() OVER (ORDER BY batch NULLS LAST, id) - 1 AS seq FROM ids
+), placed AS (
+  SELECT *, seq // 20 AS block, CAST(seq % 20 AS INTEGER) AS pos FROM numbered
+)
+SELECT * FROM placed p
+WHERE len(list_filter(range(20), lambda x: md5('42:' || block || ':' || x) < md5('42:' || block || ':' || pos))) < 2
+"""
+
+
+def p5_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct passage with its number of copies."""
+    return copies(table(spark, folder, "passages"), "chunk_id", "title", "text", "facts").where("key = keep").select("keep", "copies").withColumnRenamed("keep", "keep_id").distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The copies of every passage that is kept."""
+    return copies(table(spark, folder, "passages"), "chunk_id", "title", "text", "facts").where("key <> keep").selectExpr("keep AS keep_id", "key AS chunk_id")
+
+
+_PLAIN = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_COPIES = f"""
+WITH rows AS (
+  SELECT DISTINCT chunk_id, coalesce({_PLAIN.format("title")}, '') AS title, {_PLAIN.format("text")} AS words, facts FROM passages WHERE chunk_id IS NOT NULL
+), keyed AS (
+  SELECT chunk_id, title, words,
+         CASE WHEN facts IS NULL THEN '-' ELSE
+           array_to_string(list_sort(list_distinct([{_PLAIN.format("k")} || '=' || {_PLAIN.format("json_extract_string(facts, '$.\"' || k || '\"')")} for k in json_keys(facts)])), ',') END AS facts
+  FROM rows
+), sets AS (
+  SELECT *, min(chunk_id) OVER same AS keep_id, count(*) OVER same AS copies FROM keyed WHERE words <> '' WINDOW same AS (PARTITION BY title, words, facts)
+)
+"""
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share a run of 60 letters and digits with an evaluation item."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), run=60, q=24)
+
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents), i AS (SELECT item_id, {_PLAIN.format("text")} AS w FROM eval_items),
+di AS (SELECT item_id, substr(w, k, 60) AS run FROM i, unnest(range(1, length(w) - 58)) AS t(k)),
+dd AS (SELECT doc_id, substr(w, k, 60) AS run FROM d, unnest(range(1, length(w) - 58)) AS t(k))
+SELECT DISTINCT doc_id, item_id FROM dd JOIN di USING (run)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_sample": p4_sample, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found}
 SQL = {
     "p1_found": _TERMS + "SELECT term AS entity, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, CAST(mentions AS BIGINT) AS mentions, CAST(df AS BIGINT) AS df, CAST(records AS BIGINT) AS records, mark FROM marked",
+    "p4_sample": _SAMPLE,
+    "p5_found": _COPIES + "SELECT keep_id, chunk_id FROM sets WHERE chunk_id <> keep_id",
+    "p5_copies": _COPIES + "SELECT keep_id, copies FROM sets WHERE chunk_id = keep_id UNION ALL SELECT chunk_id, 1 FROM keyed WHERE words = '' OR words IS NULL",
+    "p7_found": _LEAKS,
 }

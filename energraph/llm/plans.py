@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from energraph.llm.copies import copies
 from energraph.llm.leaks import leaks
+from energraph.llm.neighbours import nearest, neighbour_pairs
+from energraph.llm.packing import pack
 from energraph.llm.sampling import stable_sample
+from energraph.llm.sentences import sentences
 from energraph.llm.terms import term_frequencies
 from energraph.sources.tables import table
 
@@ -34,6 +38,11 @@ WITH rows AS (
 """
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of vectors of which one is among the 5 most similar of the other, above 0.75."""
+    return neighbour_pairs(nearest(table(spark, folder, "vectors"), "id", "embedding", k=5, min_similarity=0.75)).select("u", "v")
+
+
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the questions, stable under reruns, layouts and later batches."""
     return stable_sample(table(spark, folder, "questions"), "id", "batch", seed=42, block_size=20, per_block=2).withColumnRenamed("key", "id")
@@ -77,6 +86,11 @@ WITH rows AS (
 """
 
 
+def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of 2,048 tokens."""
+    return pack(table(spark, folder, "documents"), "doc_id", "text", capacity=2048).withColumnRenamed("key", "doc_id")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that share a run of 60 letters and digits with an evaluation item."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), run=60, q=24)
@@ -89,7 +103,15 @@ dd AS (SELECT doc_id, substr(w, k, 60) AS run FROM d, unnest(range(1, length(w)
 SELECT DISTINCT doc_id, item_id FROM dd JOIN di USING (run)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_sample": p4_sample, "p5_found": p5_found, "p5_copies": p5_copies, "p7_found": p7_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The sentences of every document, by their offsets."""
+    return sentences(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "start_at", "end_at").distinct()
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p4_sample": p4_sample, "p5_found": p5_found,
+    "p5_copies": p5_copies, "p6_packs": p6_packs, "p7_found": p7_found, "p8_found": p8_found,
+}
 SQL = {
     "p1_found": _TERMS + "SELECT term AS entity, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, CAST(mentions AS BIGINT) AS mentions, CAST(df AS BIGINT) AS df, CAST(records AS BIGINT) AS records, mark FROM marked",

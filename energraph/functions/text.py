@@ -9,3 +9,68 @@ from pyspark.sql import functions as F
 def plain(c: Column) -> Column:
     """Letters and digits only, in order and in lower case; null stays null."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+
+
+#: Fixed value: characters that count as whitespace.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+
+
+def collapse(c: Column) -> Column:
+    """Each run of whitespace one space, ends trimmed."""
+    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+
+
+def casefold(c: Column) -> Column:
+    """Lower case with the foldings that lower case alone misses."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[ßẞ]", "ss"), "ς", "σ")
+
+
+def normal_entity(c: Column) -> Column:
+    return casefold(collapse(c))
+
+
+def normal_entities(names: Column) -> Column:
+    """Normalised names, first occurrence kept, empty ones dropped."""
+    return F.array_distinct(F.filter(F.transform(names, normal_entity), lambda x: x.isNotNull() & (x != "")))
+
+
+def parse_listing(reply: Column) -> Column:
+    """Lines without their bullet, or else their number; blank ones dropped."""
+    lines = F.transform(F.split(reply, "\n"), F.trim)
+
+    def item(line: Column) -> Column:
+        bullet = line.rlike(r"^[-*+]\s")
+        return F.trim(F.when(bullet, F.regexp_replace(line, r"^[-*+]\s+", "")).otherwise(F.regexp_replace(line, r"^\d+\.\s+", "")))
+
+    return F.filter(F.transform(lines, item), lambda x: x != "")
+
+
+def parse_subqueries(reply: Column, question: Column, max_colors: int = 4) -> Column:
+    """Sub-questions without list marks; chatter lines dropped, capped, the question if none is left."""
+    plain_lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[-*•]|\d+[.)])\s*", "")))
+    wanted = F.filter(plain_lines, lambda x: (x != "") & ~F.lower(x).rlike("^(?:query|queries|here)"))
+    return F.when(F.size(wanted) > 0, F.slice(wanted, 1, max_colors)).otherwise(F.array(question))
+
+
+def parse_answer(reply: Column, max_words: int = 10) -> Column:
+    """The first line, at most ``max_words`` words of it; empty when it says none."""
+    first = F.trim(F.get(F.split(F.trim(F.coalesce(reply, F.lit(""))), "\n"), F.lit(0)))
+    words = F.filter(F.split(first, SPACE + "+"), lambda w: w != "")
+    return F.when(F.upper(first).startswith("NONE"), "").otherwise(F.array_join(F.slice(words, 1, max_words), " "))
+
+
+def first_sentence(reply: Column) -> Column:
+    """The first line that is not blank, up to its first end mark."""
+    line = F.trim(F.get(F.filter(F.split(reply, "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
+    return F.coalesce(F.get(F.split(line, r"(?<=[.!?])\s"), F.lit(0)), F.lit(""))
+
+
+def snippet(text: Column, n: int) -> Column:
+    """Whitespace flattened; cut with an ellipsis when longer than n."""
+    flat = collapse(text)
+    return F.when(F.char_length(flat) <= n, flat).otherwise(F.concat(F.rtrim(F.substring(flat, 1, n - 1)), F.lit("…")))
+
+
+def passage_of(c: Column) -> Column:
+    """The passage that a proposition id belongs to."""
+    return F.substring_index(c, "#", 1)

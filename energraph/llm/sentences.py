@@ -70,90 +70,107 @@ def _attribution() -> str:
     return rf"{_W}*(?:{clause}{{1,40}}(?:{_any(SAYING_LAST)})|(?:{_any(SAYING_FIRST)}){_W}{clause}{{1,40}})[。！？.!।۔؟]"
 
 
-def _masks() -> list[tuple[str, str]]:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A step is a pattern, what to put in its place, and characters without which it cannot match.
+#: Patterns start with what is rare and look behind afterwards, which keeps the scans short.
+Step = tuple[str, str, str]
+
+
+def _masks() -> list[Step]:
     capital = rf"(?={_W}+[{OPEN}“„«¿¡\"]*\p{{Lu}})"
     # a unit after a number, and the Russian "and so on", may end a sentence before a capital
-    single = rf"(?<![{_WORD}.{MASK}])(?!(?<=\d[ \u00A0])\p{{Ll}}\.{capital})(?!(?<=т[.{MASK}] )[дп]\.{capital})(\p{{L}}\p{{M}}*)\."
+    unit = rf"(?!(?<=\d[ \u00A0]\p{{Ll}}\.){capital})(?!(?<=т[.{MASK}] [дп]\.){capital})"
     return [
-        (r"[\uE000-\uE0FF]", "\uFFFD"),
-        (rf"\n(?={_GAP}*\n)", BREAK),
-        (rf"(?<=\p{{IsGreek}})[;;](?={_W}|[»”\"’)]|\z)", "?"),
-        (r"(?<=\d)[.,٫](?=\d)", MASK),
-        (rf"(?<![{_WORD}.])\.(?=\d)", MASK),
-        (rf"(?<![{_WORD}])((?iu:{_any(ABBREVIATIONS)}))\.", f"$1{MASK}"),
-        (rf"(?<![{_WORD}])((?iu:{_any(NUMBERED)}))\.(?={_W}*\d)", f"$1{MASK}"),
-        (rf"(?<![{_WORD}])(В \d{{1,4}} гг?)\.", f"$1{MASK}"),
-        (single, f"$1{MASK}"),
-        (r"(?<=[a-z0-9/=])[.?!](?=[a-z0-9/])", MASK),
-        (rf"(?<=[.{MASK}])(\p{{Lu}})\.", f"$1{MASK}"),
-        (rf"(?<=[{_THAI}])\.", MASK),
-        (rf"(?m)(?<!{MASK}\n)^({_GAP}*\d{{1,3}})\.(?={_GAP})", f"$1{MASK}"),
-        (rf"(?<=(?<!\d)\d{{1,2}})\.(?={_W}(?:{_any(ORDINAL_OF)})(?![{_WORD}]))", MASK),
-        (rf"[\t \u00A0](?={_GAP}*(?:[{_THAI}]+{_GAP}+)?ฯลฯ)", SPACE),
-        (rf"[\t \u00A0](?={_GAP}*[พค]{MASK}ศ)", SPACE),
-        (rf"(?<=\d)[\t \u00A0](?=(?:{_any(THAI_UNITS)})(?![ะ-ู็-๎]))", SPACE),
+        (r"[\uE000-\uE0FF]", "\uFFFD", ""),
+        (rf"\n(?={_GAP}*\n)", BREAK, ""),
+        (rf"[;\u037E](?<=\p{{IsGreek}}.)(?={_W}|[»”\"’)]|\z)", "?", ";\u037E"),
+        (r"[.,٫](?<=\d.)(?=\d)", MASK, ""),
+        (rf"\.(?=\d)(?<![{_WORD}.]\.)", MASK, ""),
+        (rf"(?<![{_WORD}])(?=[\p{{L}}\p{{M}}.]{{1,6}}+\.|[\p{{L}}\p{{M}}.]{{2,8}}\.)((?iu:{_any(ABBREVIATIONS)}))\.", f"$1{MASK}", "."),
+        (rf"(?<![{_WORD}])(?=\p{{L}}{{1,4}}\.{_W}*\d)((?iu:{_any(NUMBERED)}))\.", f"$1{MASK}", "."),
+        (rf"(В \d{{1,4}} гг?)\.(?<![{_WORD}]В \d{{1,4}} г{{1,2}}\.)", f"$1{MASK}", "В"),
+        (rf"(\p{{L}})\.(?<![{_WORD}.{MASK}]\p{{L}}\.){unit}", f"$1{MASK}", "."),
+        (r"[.?!](?=[a-z0-9/])(?<=[a-z0-9/=].)", MASK, ""),
+        (rf"(\p{{Lu}})\.(?<=[.{MASK}]\p{{Lu}}\.)", f"$1{MASK}", "."),
+        (rf"\.(?<=[{_THAI}]\.)", MASK, _THAI),
+        (rf"(?m)^(?<!{MASK}\n)({_GAP}*\d{{1,3}})\.(?={_GAP})", f"$1{MASK}", "."),
+        (rf"(\d)\.(?<=(?<!\d)\d{{1,2}}\.)(?={_W}(?:{_any(ORDINAL_OF)})(?![{_WORD}]))", f"$1{MASK}", "."),
+        (rf"[\t \u00A0](?={_GAP}*(?:[{_THAI}]+{_GAP}+)?ฯลฯ)", SPACE, "ฯ"),
+        (rf"[\t \u00A0](?={_GAP}*[พค]{MASK}ศ)", SPACE, _THAI),
+        (rf"[\t \u00A0](?<=\d.)(?=(?:{_any(THAI_UNITS)})(?![ะ-ู็-๎]))", SPACE, _THAI),
     ]
 
 
-def _pairings() -> list[tuple[str, str]]:
+def _pairings() -> list[Step]:
     (qo, qc), (bo, bc), (so, sc) = PAIRS
-    turned = rf"(?<![{_WORD}{_ENDS},،])”"  # opens a quotation in Urdu
-    out = [(rf"{a}([^{x}{BREAK}]*){b}", f"{qo}$1{qc}") for a, b, x in (("„", "[“”]", "„“”"), (turned, "“", "“”"), ("“", "”", "“”"), ("«", "»", "«»"), ("「", "」", "「」"), ("『", "』", "『』"), ('"', '"', '"'))]
-    out += [(rf"‘([^‘’{BREAK}]*)’(?!\p{{L}})", f"{so}$1{sc}"), (rf"(?<![{_WORD}])'([^'{BREAK}]*)'(?![{_WORD}])", f"{so}$1{sc}")]
-    out += [(rf"\(([^(){BREAK}]*)\)", f"{bo}$1{bc}"), (rf"（([^（）{BREAK}]*)）", f"{bo}$1{bc}"), (rf"\[([^\[\]{BREAK}]*)\]", f"{bo}$1{bc}")]
+    turned = rf"”(?<![{_WORD}{_ENDS},،]”)"  # opens a quotation in Urdu
+    out = [(rf"{a}([^{x}{BREAK}]*){b}", f"{qo}$1{qc}", a[0]) for a, b, x in (("„", "[“”]", "„“”"), (turned, "“", "“”"), ("“", "”", "“”"), ("«", "»", "«»"), ("「", "」", "「」"), ("『", "』", "『』"), ('"', '"', '"'))]
+    out += [(rf"‘([^‘’{BREAK}]*)’(?!\p{{L}})", f"{so}$1{sc}", "‘"), (rf"'(?<![{_WORD}]')([^'{BREAK}]*)'(?![{_WORD}])", f"{so}$1{sc}", "'")]
+    out += [(rf"\(([^(){BREAK}]*)\)", f"{bo}$1{bc}", "("), (rf"（([^（）{BREAK}]*)）", f"{bo}$1{bc}", "（"), (rf"\[([^\[\]{BREAK}]*)\]", f"{bo}$1{bc}", r"\[")]
     for o, c in PAIRS:  # end marks with more of the quotation after them
         skip, rest = rf"{_ENDS}\s\x85\p{{Z}}{CLOSE}", rf"[^{o}{c}{_ENDS}]*"
-        out.append((rf"({o}{rest}|\G(?<={INNER}){rest})[{_ENDS}](?=[{skip}&&[^{c}]]*[^{o}{skip}][^{o}{c}]*{c})", f"$1{INNER}"))
+        out.append((rf"({o}{rest}|\G(?<={INNER}){rest})[{_ENDS}](?=[{skip}&&[^{c}]]*[^{o}{skip}][^{o}{c}]*{c})", f"$1{INNER}", o))
     return out
 
 
-def _ends() -> list[tuple[str, str]]:
-    said, after = _attribution(), f"$1{END}"
-    openers = rf"[{OPEN}“„«‘¿¡*_\"']*[\u00A0\u202F ]?"
+def _ends() -> list[Step]:
+    said, after, ahead = _attribution(), f"$1{END}", f"{END}$1"
+    openers = rf"[{OPEN}“„«‘¿¡*_\"']*[ \u00A0\u202F]?"
     upper = rf"(?:[–—-]{_GAP})?{openers}(?:\p{{Lu}}|\p{{Lt}}|\p{{N}}|\p{{Sc}}|\p{{Ll}}\p{{Lu}})"
     closed = rf"(?:[\u00A0\u202F]?[{_CLOSERS}\"])"
     mark = rf"(?:[-*•·▪◦‣]{_GAP}|[–—]{_GAP}(?!\p{{Ll}}(?!\p{{Lu}}))|\d{{1,3}}(?:{MASK}|[.)]){_GAP}|[A-Z]{{1,2}}\d{{1,3}}:{_GAP}|#{{1,6}}{_GAP})"
     # the first word of the next line would have fitted on this one, so the break is not a wrap
     words = "|".join(rf"[^\n{BREAK}]{{1,{WRAP - w}}}\n\S{{1,{w}}}(?:\s|{BREAK}|\z)" for w in range(4, 41, 4))
-    fits = rf"(?=(?:{END})?(?:{words}|[^\n{BREAK}]{{1,{WRAP // 2}}}\n[{_CJK}{_THAI}]))"
+    fits = rf"(?=(?:{END})?[^\n{BREAK}]{{1,{WRAP - 4}}}\n)(?=(?:{END})?(?:{words}|[^\n{BREAK}]{{1,{WRAP // 2}}}\n[{_CJK}{_THAI}]))"
+    ideographic, indic = "。！？｡…", "।॥۔؟"
     return [
-        (BREAK, BREAK + END),
-        (rf"(?m)^({_GAP}*#{{1,6}}{_GAP}[^\n{BREAK}]*)(?=\n)", after),
-        (rf"(?<!{MASK})\n(?={_GAP}*{mark})", "\n" + END),
-        (rf"(?m)^{fits}([^\n{BREAK}]*[^\s{_ENDS},;:，、：；{MASK}{BREAK}{END}])(?={_GAP}*\n)", after),
+        (BREAK, BREAK + END, ""),
+        (rf"(?m)^({_GAP}*#{{1,6}}{_GAP}[^\n{BREAK}]*)(?=\n)", after, "#"),
+        (rf"\n(?<!{MASK}\n)(?={_GAP}*{mark})", "\n" + END, r"\n"),
+        (rf"(?m)^{fits}([^\n{BREAK}]*[^\s{_ENDS},;:，、：；{MASK}{BREAK}{END}])(?={_GAP}*\n)", after, r"\n"),
         # ideographic
-        (rf"([。！？｡]++)(?![{_ENDS}{_CLOSERS}，、,])", after),
-        (rf"([。！？｡…]++[{_CLOSERS}]++)(?![{_ENDS}，、,と]|って|{said})", after),
-        (rf"(?<=[{_CJK}])(…++)(?=[{_CJK}{OPEN}《])", after),
+        (rf"([。！？｡]++)(?![{_ENDS}{_CLOSERS}，、,])", after, ideographic),
+        (rf"([。！？｡…]++[{_CLOSERS}]++)(?![{_ENDS}，、,と]|って|{said})", after, ideographic),
+        (rf"(…++)(?=[{_CJK}{OPEN}《])(?<=[{_CJK}]…{{1,6}})", after, "…"),
         # Devanagari, Arabic, Urdu
-        (rf"([।॥۔؟]++)(?![{_ENDS}{_CLOSERS}\"])", after),
-        (rf"([।॥۔؟]++[{_CLOSERS}\"]++)(?![{_ENDS},،]|{said})", after),
+        (rf"([।॥۔؟]++)(?![{_ENDS}{_CLOSERS}\"])", after, indic),
+        (rf"([।॥۔؟]++[{_CLOSERS}\"]++)(?![{_ENDS},،]|{said})", after, indic),
         # Latin, Cyrillic, Greek and whatever else uses their marks
-        (rf"([.!?…]++{closed}*+)(?={_W}+{upper}|{_W}*(?:\z|{END}))", after),
-        (rf"([.!?…]++)(?={_W}+{openers}\p{{Lo}})", after),
-        (rf"([.!?…]++{closed}++)(?={_W}+{openers}\p{{Lo}})(?!{said})", after),
-        (rf"(?<=\p{{Ll}}\p{{Ll}})([.!?…]++{closed}*+)(?=[{OPEN}]?\p{{Lu}}[\p{{Ll}}\s])", after),
+        (rf"([.!?…]++{closed}*+)(?={_W}+{upper}|{_W}*(?:\z|{END}))", after, ""),
+        (rf"([.!?…]++)(?={_W}+{openers}\p{{Lo}})", after, ""),
+        (rf"([.!?…]++{closed}++)(?={_W}+{openers}\p{{Lo}})(?!{said})", after, ""),
+        (rf"([.!?…]++{closed}*+)(?=[{OPEN}]?\p{{Lu}}[\p{{Ll}}\s])(?<=\p{{Ll}}\p{{Ll}}[.!?…{_CLOSERS}\"]{{1,8}})", after, ""),
         # Thai
-        (rf"(?<=[{_THAI}])(?={_W}+[{OPEN}]?(?:[{_THAI}]|\p{{Lu}}\p{{Ll}}))", END),
-        (rf"(?<=\d)(?={_W}+[{_THAI}])", END),
+        (rf"({_W})(?<=[{_THAI}][\s\S])(?={_W}*[{OPEN}]?(?:[{_THAI}]|\p{{Lu}}\p{{Ll}}))", ahead, _THAI),
+        (rf"({_W})(?<=\d[\s\S])(?={_W}*[{_THAI}])", ahead, _THAI),
     ]
 
 
 STEPS = _masks() + _pairings() + _ends()
 
 
+def _apply(text: Column, step: Step) -> Column:
+    pattern, to, needs = step
+
+    def changed(t: Column) -> Column:
+        return F.regexp_replace(t, F.lit(pattern), F.lit(to))
+
+    if not needs:
+        return changed(text)
+    return _let(text, lambda t: F.when(F.rlike(t, F.lit(f"[{needs}]")), changed(t)).otherwise(t))
+
+
 def marked(text: Column) -> Column:
     """The masked text with a marker after each sentence."""
-    for pattern, to in STEPS:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(to))
+    for step in STEPS:
+        text = _apply(text, step)
     return text
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _total(lengths: Column, start: Column, n: Column) -> Column:
     return F.aggregate(F.slice(lengths, start, n), F.lit(0), lambda a, x: a + x)
 

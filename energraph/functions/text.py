@@ -31,12 +31,12 @@ def normal_entity(c: Column) -> Column:
 
 def normal_entities(names: Column) -> Column:
     """Normalised names, first occurrence kept, empty ones dropped."""
-    return F.array_distinct(F.filter(F.transform(names, normal_entity), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(F.coalesce(names, F.array().cast("array<string>")), normal_entity), lambda x: x.isNotNull() & (x != "")))
 
 
 def parse_listing(reply: Column) -> Column:
     """Lines without their bullet, or else their number; blank ones dropped."""
-    lines = F.transform(F.split(reply, "\n"), F.trim)
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(x))
 
     def item(line: Column) -> Column:
         bullet = line.rlike(r"^[-*+]\s")

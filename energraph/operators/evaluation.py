@@ -143,7 +143,7 @@ def iterative_retrieve(queries: DataFrame, vectors: DataFrame, rewrite, cfg: Ite
         held = settle(known.withColumn("arrival", order).where(F.col("arrival") <= cfg.max_collected).select("qid", "node", F.col("best").alias("score"), "step", "place"))
         if step + 1 < cfg.max_steps:
             asked = settle(rewrite(asked, held, step))
-    return held.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "step", "node"))).drop("place")
+    return held.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "step", "node"))).drop("place")
 
 
 def color_receipt(per_query: DataFrame) -> DataFrame:

@@ -67,8 +67,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = F
     some = (F.col("embedding").isNotNull()) & F.exists("embedding", lambda x: x != 0)
     q, v = queries.where(some), vectors.where(some)
     nq, nv = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (q, v))
-    left = q.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"))
-    right = v.select(F.col("id").cast("string").alias("id"), "embedding", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"))
+    left = q.select(F.col("qid").alias("qid"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"))
+    right = v.select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"))
     parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_best(k, skip_self), f"qid {kind}, node string, score double")
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "node")
     return parts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)

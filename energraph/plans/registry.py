@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from energraph.plans import references
+from energraph.plans import layers, references, waves
 
-PARTS = [references]
+PARTS = [references, layers, waves]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return references.p2_report(spark, folder)
+    """Activations of the vector graph, strongest first within each query."""
+    return waves.wave(spark, folder)[0].ranked().select("qid", "node", F.round("energy", 6).alias("energy"), "rank").orderBy("qid", "rank")

@@ -37,6 +37,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _dirs: set[str] = set()
+_kept: dict[tuple, object] = {}
+MAX_KEPT = 64
+
+
+def kept(spark: SparkSession, key: tuple, make):
+    """A result whose tables are stored already, made once per session; the oldest of too many go."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _kept:
+        while len(_kept) >= MAX_KEPT:
+            _kept.pop(next(iter(_kept)))
+        _kept[full] = make()
+    return _kept[full]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -42,7 +42,7 @@ def read_arrays(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     raw = spark.read.schema(_ARRAYS).json(path, multiLine=True)
     rows = raw.select(F.concat_ws("__", "type", "_id").alias("id"), "type", "question", "answer", F.from_json("context", "array<array<string>>").alias("context"), F.from_json("supporting_facts", "array<array<string>>").alias("facts"))
     each = rows.select("id", F.posexplode("context").alias("idx", "c"), "facts")
-    text = F.array_join(F.transform(F.from_json(F.get("c", F.lit(1)), "array<string>"), F.trim), " ")
+    text = F.array_join(F.transform(F.from_json(F.get("c", F.lit(1)), "array<string>"), lambda x: F.trim(x)), " ")
     para = each.select("id", "idx", F.get("c", F.lit(0)).alias("title"), text.alias("text"), "facts")
     first = para.groupBy("id", "title").agg(F.min_by(F.struct("idx", "text", "facts"), "idx").alias("p")).select("id", "title", "p.*")
     marked = first.withColumn("is_supporting", F.exists("facts", lambda f: F.get(f, F.lit(0)) == F.col("title")))

@@ -24,6 +24,8 @@ from energraph.runtime import kept, settle
 from energraph.sources.tables import table
 
 WAVE = PropagationConfig(threshold_ratio=0.01, split_alpha=3.0, max_hop=4)
+#: Two colours a query and one hop, which leaves more than one cluster.
+THEMES = PropagationConfig(threshold_ratio=0.05, max_hop=1)
 HOPS = WAVE.max_hop + 1
 
 
@@ -143,7 +145,7 @@ def seed_select_distinct_source(spark, folder):
     return select_contacts(c, 3, DedupConfig(), None, sources).select("qid", "node", _r("weight"), "survivor")
 
 
-def _colored(spark, folder):
+def _colored(spark, folder, cfg=WAVE):
     v = vectors(spark, folder)
     n = v.count()
     first = v.where("vec_id % 20 = 0").select(F.col("id").alias("qid"), "vec_id")
@@ -152,7 +154,7 @@ def _colored(spark, folder):
     keyed = q.select(F.concat_ws("\t", "qid", "color").alias("qid"), "embedding")
     found = top_k(keyed, v.select("id", "embedding"), 2).where("score > 0")
     seeds = found.select(F.substring_index("qid", "\t", 1).alias("qid"), F.substring_index("qid", "\t", -1).alias("color"), "node", F.col("score").alias("weight"))
-    return propagate(wave_graph(spark, folder), seeds, WAVE)
+    return kept(spark, (folder, "colored", cfg), lambda: propagate(wave_graph(spark, folder), seeds, cfg))
 
 
 def colored_bridges(spark, folder):
@@ -171,20 +173,22 @@ def activation_paths(spark, folder):
     return out.activation_paths(wave(spark, folder)[0]).select("qid", "node", F.array_join("steps", ">").alias("steps"), "converging")
 
 
+def _themes(spark, folder) -> tuple[Bundle, DataFrame]:
+    run = _colored(spark, folder, THEMES)
+    return run, kept(spark, (folder, "themes"), lambda: settle(out.theme_clusters(run, wave_graph(spark, folder))))
+
+
 def theme_clusters(spark, folder):
-    run, adj = wave(spark, folder, PropagationConfig(threshold_ratio=0.05, max_hop=4))
-    return out.theme_clusters(run, adj).select("qid", "cluster", "size", _r("energy"), _r("share"), "top_node")
+    return _themes(spark, folder)[1].select("qid", "cluster", "size", _r("energy"), _r("share"), "top_node", F.array_join("colors", ",").alias("colors"))
 
 
 def gap_warnings(spark, folder):
-    run, adj = wave(spark, folder, PropagationConfig(threshold_ratio=0.05, max_hop=4))
-    return out.gap_warnings(out.theme_clusters(run, adj), OutputConfig(1, 0.01)).select("qid", "left_node", "right_node")
+    return out.gap_warnings(_themes(spark, folder)[1], OutputConfig(2, 0.1)).select("qid", "left_node", "right_node")
 
 
 def refusal_report(spark, folder):
-    run, adj = wave(spark, folder, PropagationConfig(threshold_ratio=0.05, max_hop=4))
-    parts = settle(out.theme_clusters(run, adj))
-    return out.refusal_report(run, parts, out.gap_warnings(parts)).select("qid", "n_clusters", F.size("deepest").cast("bigint").alias("n_deepest"))
+    run, parts = _themes(spark, folder)
+    return out.refusal_report(run, parts, out.gap_warnings(parts, OutputConfig(2, 0.1))).select("qid", "n_clusters", "n_gaps", F.size("deepest").cast("bigint").alias("n_deepest"))
 
 
 def energy_ledger(spark, folder):
@@ -310,16 +314,18 @@ def sql_waves(cfg: PropagationConfig, seeds: str = "seeds", name: str = "", budg
 _ONE = GRAPH + ", " + sql_waves(WAVE)
 _FEED = ", feed AS (SELECT DISTINCT a.qid, a.color, a.node, o.src FROM act a JOIN offers o ON o.qid = a.qid AND o.color = a.color AND o.dst = a.node AND o.hop < a.hop)"
 _TOTAL = ", total AS (SELECT qid, node, sum(e) AS energy FROM act GROUP BY 1, 2), web AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY energy DESC, node) AS rank FROM total)"
-_THEMES = PropagationConfig(threshold_ratio=0.05, max_hop=4)
-_PARTS = GRAPH.replace("WITH v", "WITH RECURSIVE v", 1) + ", " + sql_waves(_THEMES) + """,
+_ASKS = GRAPH + """, asks AS (SELECT a.id AS qid, c, b.e FROM v a, (SELECT unnest([0, 1]) AS c), v b WHERE a.vec_id % 20 = 0 AND b.vec_id = (a.vec_id + 7 * c) % (SELECT count(*) FROM v)),
+chits AS (SELECT q.qid, 'c' || q.c AS color, b.id AS node, list_cosine_similarity(q.e, b.e) AS weight FROM asks q, v b QUALIFY row_number() OVER (PARTITION BY q.qid, q.c ORDER BY list_cosine_similarity(q.e, b.e) DESC, b.id) <= 2),
+cseeds AS (SELECT * FROM chits WHERE weight > 0), """
+_COLORED = _ASKS + sql_waves(WAVE, "cseeds", budget="5.0")
+_PARTS = _ASKS.replace("WITH v", "WITH RECURSIVE v", 1) + sql_waves(THEMES, "cseeds", budget="5.0", name="z") + """,
+act AS (SELECT qid, node, sum(e) AS e FROM actz GROUP BY 1, 2),
 links AS (SELECT a.qid, a.node AS x, b.node AS y FROM act a JOIN adj d ON d.src = a.node AND d.w > 0 JOIN act b ON b.qid = a.qid AND b.node = d.dst),
 reach AS (SELECT qid, node AS x, node AS y FROM act UNION SELECT r.qid, r.x, l.y FROM reach r JOIN links l ON l.qid = r.qid AND l.x = r.y),
 part AS (SELECT qid, x AS node, min(y) AS cluster FROM reach GROUP BY 1, 2),
-parts AS (SELECT p.qid, p.cluster, count(*) AS size, sum(a.e) AS energy, sum(a.e) / sum(sum(a.e)) OVER (PARTITION BY p.qid) AS share, arg_max(p.node, (a.e, p.node)) AS top_node FROM part p JOIN act a USING (qid, node) GROUP BY 1, 2),
-placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY energy DESC, top_node) AS rank FROM parts)"""
-_COLORED = GRAPH + """, asks AS (SELECT a.id AS qid, c, b.e FROM v a, (SELECT unnest([0, 1]) AS c), v b WHERE a.vec_id % 20 = 0 AND b.vec_id = (a.vec_id + 7 * c) % (SELECT count(*) FROM v)),
-chits AS (SELECT q.qid, 'c' || q.c AS color, b.id AS node, list_cosine_similarity(q.e, b.e) AS weight FROM asks q, v b QUALIFY row_number() OVER (PARTITION BY q.qid, q.c ORDER BY list_cosine_similarity(q.e, b.e) DESC, b.id) <= 2),
-cseeds AS (SELECT * FROM chits WHERE weight > 0), """ + sql_waves(WAVE, "cseeds", budget="5.0")
+parts AS (SELECT p.qid, p.cluster, count(*) AS size, sum(a.e) AS energy, sum(a.e) / sum(sum(a.e)) OVER (PARTITION BY p.qid) AS share, arg_max(p.node, (a.e, p.node)) AS top_node, (SELECT string_agg(DISTINCT z.color, ',' ORDER BY z.color) FROM actz z JOIN part pp ON pp.qid = z.qid AND pp.node = z.node WHERE z.qid = p.qid AND pp.cluster = p.cluster) AS colors FROM part p JOIN act a USING (qid, node) GROUP BY 1, 2),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY energy DESC, top_node) AS rank FROM parts),
+gaps AS (SELECT a.qid, a.top_node AS left_node, b.top_node AS right_node FROM placed a JOIN placed b ON b.qid = a.qid AND a.rank < b.rank WHERE a.share >= 0.1 AND b.share >= 0.1 AND a.size >= 2 AND b.size >= 2)"""
 _EVAL = _ONE + _TOTAL + """,
 lists AS (SELECT qid, 'web' AS system, node, rank FROM web UNION ALL SELECT qid, 'topk', node, rank FROM ranked WHERE rank <= 10),
 ks AS (SELECT unnest([2, 5, 10]) AS k),
@@ -386,9 +392,9 @@ SQL = {
     "colored_ranked": _COLORED + "SELECT qid, node, round(sum(e), 6) AS energy FROM act GROUP BY 1, 2",
     "confidence": _ONE + "SELECT qid, round(sum(e), 6) AS total_energy, count(*) AS node_count, max(hop) AS hop_depth FROM act GROUP BY 1",
     "activation_paths": _PATHS,
-    "theme_clusters": _PARTS + "SELECT qid, cluster, size, round(energy, 6) AS energy, round(share, 6) AS share, top_node FROM placed",
-    "gap_warnings": _PARTS + "SELECT a.qid, a.top_node AS left_node, b.top_node AS right_node FROM placed a JOIN placed b ON b.qid = a.qid AND a.rank < b.rank WHERE a.share >= 0.01 AND b.share >= 0.01",
-    "refusal_report": _PARTS + "SELECT q.qid, (SELECT count(*) FROM parts p WHERE p.qid = q.qid) AS n_clusters, (SELECT count(*) FROM act a WHERE a.qid = q.qid AND a.hop = q.deepest) AS n_deepest FROM (SELECT qid, max(hop) AS deepest FROM act GROUP BY 1) q",
+    "theme_clusters": _PARTS + "SELECT qid, cluster, size, round(energy, 6) AS energy, round(share, 6) AS share, top_node, colors FROM placed",
+    "gap_warnings": _PARTS + "SELECT * FROM gaps",
+    "refusal_report": _PARTS + "SELECT q.qid, (SELECT count(*) FROM parts p WHERE p.qid = q.qid) AS n_clusters, (SELECT count(*) FROM gaps g WHERE g.qid = q.qid) AS n_gaps, (SELECT count(DISTINCT node) FROM actz a WHERE a.qid = q.qid AND a.hop = q.deepest) AS n_deepest FROM (SELECT qid, max(hop) AS deepest FROM actz GROUP BY 1) q",
     "energy_ledger": _LEDGER,
     "web_vs_topk": _ONE + _TOTAL + "SELECT coalesce(w.qid, t.qid) AS qid, coalesce(w.node, t.node) AS node, CASE WHEN t.node IS NULL THEN 'web' WHEN w.node IS NULL THEN 'topk' ELSE 'both' END AS badge FROM (SELECT * FROM web WHERE rank <= 5) w FULL JOIN (SELECT * FROM ranked WHERE rank <= 5) t ON t.qid = w.qid AND t.node = w.node",
     "contributor_edges": _ONE + _FEED + _TOTAL + "SELECT f.qid, f.src AS u, f.node AS v FROM feed f JOIN web a ON a.qid = f.qid AND a.node = f.src AND a.rank <= 10 JOIN web b ON b.qid = f.qid AND b.node = f.node AND b.rank <= 10",

@@ -35,9 +35,22 @@ from energraph.runtime import session_of, settle, shuffle_partitions
 SEGMENT_BITS, BITS_PER_ROW, HASHES, PASS_SEGMENTS = 23, 16, 4, 32
 
 
+def _numbers_as_strings(facts: Column) -> Column:
+    """The JSON text with each number outside a string put in quotes, so that parsing keeps it as written."""
+
+    def swap(c: Column, a: str, b: str) -> Column:
+        return F.replace(c, F.lit(a), F.lit(b))
+
+    clean = F.regexp_replace(facts, r"[\uE000-\uE003]", "")
+    escapes = swap(swap(clean, "\\\\", "\uE002\uE002"), '\\"', "\uE002\uE003")
+    tokens = F.regexp_replace(escapes, r'("[^"]*+")|(-?\d[0-9.eE+\-]*+)', "$1\uE000$2\uE001")
+    quoted = F.regexp_replace(swap(tokens, "\uE000\uE001", ""), r"[\uE000\uE001]", '"')
+    return swap(swap(quoted, "\uE002\uE003", '\\"'), "\uE002\uE002", "\\\\")
+
+
 def facts_key(c: Column) -> Column:
     """The same for facts with the same values under the same names, in any order and look."""
-    pairs = F.transform(F.map_entries(F.from_json(c, "map<string,string>")), lambda e: F.concat(plain(e["key"]), F.lit("="), F.coalesce(plain(e["value"]), F.lit("\u0000"))))
+    pairs = F.transform(F.map_entries(F.from_json(_numbers_as_strings(c), "map<string,string>")), lambda e: F.concat(plain(e["key"]), F.lit("="), F.coalesce(plain(e["value"]), F.lit("\u0000"))))
     listed = F.concat(F.lit("{"), F.array_join(F.array_sort(F.array_distinct(pairs)), ","))
     return F.when(c.isNull(), "-").otherwise(F.coalesce(listed, F.concat(F.lit("?"), plain(c))))
 

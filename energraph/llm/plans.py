@@ -105,7 +105,7 @@ SELECT DISTINCT doc_id, item_id FROM dd JOIN di USING (run)
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences of every document, by their offsets."""
-    return sentences(table(spark, folder, "documents"), "doc_id", "text").select(F.col("key").alias("doc_id"), "start_at", "end_at").distinct()
+    return sentences(table(spark, folder, "documents"), "doc_id", "text", with_text=False).select(F.col("key").alias("doc_id"), "start_at", "end_at").distinct()
 
 
 QUERIES = {

@@ -175,37 +175,45 @@ def _total(lengths: Column, start: Column, n: Column) -> Column:
     return F.aggregate(F.slice(lengths, start, n), F.lit(0), lambda a, x: a + x)
 
 
-def spans(pieces: Column) -> Column:
-    """array<struct<start_at, end_at>> of the pieces without the white space around them.
+def spans(pieces: Column, body: Column | None = None) -> Column:
+    """array<struct<start_at, end_at[, sentence]>> of the pieces without the white space around them.
 
-    Sums of earlier lengths are taken over groups of about the square root of their number, so
-    the work stays near linear for texts of very many sentences.
+    Earlier lengths are summed, and sentences cut from ``body``, over groups of about the square
+    root of their number, so the work stays near linear for texts of very many sentences.
     """
 
-    def place(p: Column, k: Column, lengths: Column, groups: Column) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            g = F.floor(i / k).cast("int")
-            start = _total(groups, F.lit(1), g) + _total(lengths, g * k + 1, i - g * k)
-            lead = F.char_length(F.regexp_extract(piece, rf"^{_W}*+", 0))
-            body = F.char_length(F.regexp_replace(piece, rf"{_W}++\z", ""))
-            return F.struct((start + lead).alias("start_at"), (start + body).alias("end_at"))
+    def group(p: Column, k: Column, lengths: Column, sums: Column, g: Column) -> Column:
+        base = _total(sums, F.lit(1), g)
 
-        return F.filter(F.transform(p, one), lambda s: s["end_at"] > s["start_at"])
+        def cut(start: Column, own: Column | None) -> Column:
+            def one(piece: Column, i: Column) -> Column:
+                at = _total(lengths, g * k + 1, i)
+                lead = at + F.char_length(F.regexp_extract(piece, rf"^{_W}*+", 0))
+                end = at + F.char_length(F.regexp_replace(piece, rf"{_W}++\z", ""))
+                place = [(start + lead).alias("start_at"), (start + end).alias("end_at")]
+                return F.struct(*place, *([F.substring(own, lead + 1, end - lead).alias("sentence")] if own is not None else []))
+
+            return F.transform(F.slice(p, g * k + 1, k), one)
+
+        if body is None:
+            return _let(base, lambda start: cut(start, None))
+        return _let(base, lambda start: _let(F.substring(body, start + 1, F.get(sums, g)), lambda own: cut(start, own)))
 
     def grouped(p: Column, k: Column, lengths: Column) -> Column:
-        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / k).cast("int")), lambda g: _total(lengths, g * k + 1, k))
-        return _let(groups, lambda s: place(p, k, lengths, s))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / k).cast("int"))
+        sums = F.transform(numbers, lambda g: _total(lengths, g * k + 1, k))
+        return _let(sums, lambda s: F.flatten(F.transform(numbers, lambda g: group(p, k, lengths, s, g))))
 
     def sized(p: Column, lengths: Column) -> Column:
         return _let(F.ceil(F.sqrt(F.size(lengths))).cast("int"), lambda k: grouped(p, k, lengths))
 
-    return _let(pieces, lambda p: _let(F.transform(p, lambda x: F.char_length(x)), lambda n: sized(p, n)))
+    every = _let(pieces, lambda p: _let(F.transform(p, lambda x: F.char_length(x)), lambda n: sized(p, n)))
+    return F.filter(every, lambda x: x["end_at"] > x["start_at"])
 
 
-def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sentence_no, start_at, end_at, sentence): offsets in code points, the end excluded."""
+def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", *, with_text: bool = True) -> DataFrame:
+    """(key, sentence_no, start_at, end_at[, sentence]): offsets in code points, the end excluded."""
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("body"))
-    cut = rows.select("key", "body", spans(F.split(marked(F.col("body")), END, -1)).alias("parts"))
-    each = cut.select("key", "body", F.posexplode("parts").alias("sentence_no", "part"))
-    start, end = F.col("part.start_at"), F.col("part.end_at")
-    return each.select("key", "sentence_no", start.alias("start_at"), end.alias("end_at"), F.substring("body", start + 1, end - start).alias("sentence"))
+    pieces = F.split(marked(F.col("body")), END, -1)
+    cut = rows.select("key", spans(pieces, F.col("body") if with_text else None).alias("parts"))
+    return cut.select("key", F.posexplode("parts").alias("sentence_no", "part")).select("key", "sentence_no", "part.*")

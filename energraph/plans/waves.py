@@ -111,7 +111,7 @@ def polarity_disputes(spark, folder):
 
 def absorption_ledger(spark, folder):
     v = vectors(spark, folder)
-    negatives = asked(spark, folder).select("qid").crossJoin(F.broadcast(v.where("id = 'v000001'").select(F.lit("n").alias("part"), "embedding")))
+    negatives = asked(spark, folder).select("qid", F.lit("v000001").alias("id")).join(v, "id").select("qid", F.lit("n").alias("part"), "embedding")
     run = retrieve(asked(spark, folder), v.select("id", "embedding"), wave_graph(spark, folder), RetrievalConfig(WAVE), negatives=negatives, negative_seed=NegativeSeedConfig()).bundle
     return run.absorptions.select("qid", "node", "hop", _r("absorbed"), _r("energy_after"))
 

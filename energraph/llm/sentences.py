@@ -81,7 +81,7 @@ Step = tuple[str, str, str]
 
 
 def _masks() -> list[Step]:
-    capital = rf"(?={_W}+[{OPEN}“„«¿¡\"]*\p{{Lu}})"
+    capital = rf"(?={_W}+(?:[-*•–—]{_GAP})?[{OPEN}“„«¿¡\"]*\p{{Lu}})"
     # a unit after a number, and the Russian "and so on", may end a sentence before a capital
     unit = rf"(?!(?<=\d[ \u00A0]\p{{Ll}}\.){capital})(?!(?<=т[.{MASK}] [дп]\.){capital})"
     return [
@@ -119,10 +119,12 @@ def _pairings() -> list[Step]:
 
 def _ends() -> list[Step]:
     said, after, ahead = _attribution(), f"$1{END}", f"{END}$1"
-    openers = rf"[{OPEN}“„«‘¿¡*_\"']*[ \u00A0\u202F]?"
+    openers = rf"[{OPEN}“„«‘¿¡(\[*_\"']*[ \u00A0\u202F]?"
     upper = rf"(?:[–—-]{_GAP})?{openers}(?:\p{{Lu}}|\p{{Lt}}|\p{{N}}|\p{{Sc}}|\p{{Ll}}\p{{Lu}})"
     closed = rf"(?:[\u00A0\u202F]?[{_CLOSERS}\"])"
-    mark = rf"(?:[-*•·▪◦‣]{_GAP}|[–—]{_GAP}(?!\p{{Ll}}(?!\p{{Lu}}))|\d{{1,3}}(?:{MASK}|[.)]){_GAP}|[A-Z]{{1,2}}\d{{1,3}}:{_GAP}|#{{1,6}}{_GAP})"
+    # a number after an abbreviation at the end of a line belongs to the abbreviation
+    number = rf"\n(?<!{MASK}\n)(?={_GAP}*\d{{1,3}}(?:{MASK}|[.)]){_GAP})"
+    mark = rf"(?:[-*•·▪◦‣]{_GAP}|[–—]{_GAP}(?!\p{{Ll}}(?!\p{{Lu}}))|[A-Z]{{1,2}}\d{{1,3}}:{_GAP}|#{{1,6}}{_GAP})"
     # the first word of the next line would have fitted on this one, so the break is not a wrap
     words = "|".join(rf"[^\n{BREAK}]{{1,{WRAP - w}}}\n\S{{1,{w}}}(?:\s|{BREAK}|\z)" for w in range(4, 41, 4))
     fits = rf"(?=(?:{END})?[^\n{BREAK}]{{1,{WRAP - 4}}}\n)(?=(?:{END})?(?:{words}|[^\n{BREAK}]{{1,{WRAP // 2}}}\n[{_CJK}{_THAI}]))"
@@ -130,8 +132,8 @@ def _ends() -> list[Step]:
     return [
         (BREAK, BREAK + END, ""),
         (rf"(?m)^({_GAP}*#{{1,6}}{_GAP}[^\n{BREAK}]*)(?=\n)", after, "#"),
-        (rf"\n(?<!{MASK}\n)(?={_GAP}*{mark})", "\n" + END, r"\n"),
-        (rf"(?m)^{fits}([^\n{BREAK}]*[^\s{_ENDS},;:，、：；{MASK}{BREAK}{END}])(?={_GAP}*\n)", after, r"\n"),
+        (rf"{number}|\n(?={_GAP}*{mark})", "\n" + END, r"\n"),
+        (rf"(?m)^{fits}([^\n{BREAK}]*[^\s{_ENDS},;:，、：；{MASK}{BREAK}{END}])(?<!\p{{L}}[-\u00AD\u2010])(?={_GAP}*\n)", after, r"\n"),
         # ideographic
         (rf"([。！？｡]++)(?![{_ENDS}{_CLOSERS}，、,])", after, ideographic),
         (rf"([。！？｡…]++[{_CLOSERS}]++)(?![{_ENDS}，、,と]|って|{said})", after, ideographic),

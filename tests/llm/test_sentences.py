@@ -44,6 +44,8 @@ def test_layout(spark):
     wrapped = "The walk from here to the old mill takes 47 minutes in dry weather and\nlonger in the rain. It ends at no.\n72. Then home."
     listing = "## A Heading\n\n1. First item\n2. Second item.\n- third, 3.5 m\n— Fourth?\n\nQ1: Who is it?\nA1: approx. 9.6\nSo it is."
     report = "run no. 15, seed 99\nhops used: 8\nS@9 = 0.8 (web)\n\nText here. More"
+    hyphens = "The botanist desc-\nribed a pale or-\nchid.\n\nТам письма и т. д.\n- Название"
+    assert cut(spark, [hyphens])[0] == ["The botanist desc-\nribed a pale or-\nchid.", "Там письма и т. д.", "- Название"]
     got = cut(spark, [wrapped, listing, report, None, "", " \n\t ", "\U0001f600 Hi \U0001f600. Then \U0001f4a5!", "x", " odd. Text."])
     assert got[0] == [wrapped.split(". It")[0] + ".", "It ends at no.\n72.", "Then home."]
     assert got[1] == ["## A Heading", "1. First item", "2. Second item.", "- third, 3.5 m", "— Fourth?", "Q1: Who is it?", "A1: approx. 9.6", "So it is."]

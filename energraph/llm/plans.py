@@ -43,6 +43,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbour_pairs(nearest(table(spark, folder, "vectors"), "id", "embedding", k=5, min_similarity=0.75)).select("u", "v")
 
 
+_NEAREST = """
+WITH v AS (
+  SELECT id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM vectors WHERE id IS NOT NULL AND embedding IS NOT NULL GROUP BY id
+), usable AS (
+  SELECT * FROM v WHERE list_sum(list_transform(e, lambda x: x * x)) > 0
+), sims AS (
+  SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM usable a, usable b WHERE a.id <> b.id
+), near AS (
+  SELECT id, other FROM sims WHERE s > 0.75 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5
+)
+SELECT DISTINCT least(id, other) AS u, greatest(id, other) AS v FROM near
+"""
+
+
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A tenth of the questions, stable under reruns, layouts and later batches."""
     return stable_sample(table(spark, folder, "questions"), "id", "batch", seed=42, block_size=20, per_block=2).withColumnRenamed("key", "id")
@@ -115,6 +129,7 @@ QUERIES = {
 SQL = {
     "p1_found": _TERMS + "SELECT term AS entity, mark FROM marked WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT term, CAST(mentions AS BIGINT) AS mentions, CAST(df AS BIGINT) AS df, CAST(records AS BIGINT) AS records, mark FROM marked",
+    "p3_found": _NEAREST,
     "p4_sample": _SAMPLE,
     "p5_found": _COPIES + "SELECT keep_id, chunk_id FROM sets WHERE chunk_id <> keep_id",
     "p5_copies": _COPIES + "SELECT keep_id, copies FROM sets WHERE chunk_id = keep_id UNION ALL SELECT chunk_id, 1 FROM keyed WHERE words = '' OR words IS NULL",

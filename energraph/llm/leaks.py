@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from energraph.functions.text import plain
-from energraph.runtime import session_of
+from energraph.runtime import session_of, spread
 
 BLOCK_SHINGLES, PIECE, STEP, BITMAP_BITS = 1 << 20, 1 << 20, 1 << 21, 24
 _BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
@@ -199,7 +199,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
         raise ValueError("q must be in (0, run]")
     spark = session_of(docs)
     long_enough = F.char_length("words") >= run
-    corpus = docs.select(F.col(doc_id).cast("bigint").alias("id"), plain(F.col(text)).alias("words")).where(F.col("id").isNotNull() & long_enough)
+    corpus = spread(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))).select("id", plain(F.col("text")).alias("words")).where(F.col("id").isNotNull() & long_enough)
     wanted = items.select(F.col(item_id).cast("bigint").alias("id"), plain(F.col(text)).alias("words")).where(F.col("id").isNotNull() & long_enough).distinct()
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
     held: list[tuple[int, str]] = []

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from energraph.runtime import session_of, settle
+from energraph.runtime import session_of, settle, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE splits text before merging.
@@ -73,7 +73,7 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], names=["key", "n_tokens"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(count, f"key {kind}, n_tokens bigint")
+    return spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(count, f"key {kind}, n_tokens bigint")
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first

@@ -28,6 +28,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from energraph.runtime import spread
+
 MASK, INNER, SPACE, BREAK, END = "\uE000", "\uE001", "\uE002", "\uE00A", "\uE0FF"
 #: Placeholders of paired marks: quotation, bracket, single quotation.
 PAIRS = (("\uE010", "\uE011"), ("\uE012", "\uE013"), ("\uE014", "\uE015"))
@@ -215,7 +217,7 @@ def spans(pieces: Column, body: Column | None = None) -> Column:
 
 def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", *, with_text: bool = True) -> DataFrame:
     """(key, sentence_no, start_at, end_at[, sentence]): offsets in code points, the end excluded."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("body"))
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("body")))
     pieces = F.split(marked(F.col("body")), END, -1)
     cut = rows.select("key", spans(pieces, F.col("body") if with_text else None).alias("parts"))
     return cut.select("key", F.posexplode("parts").alias("sentence_no", "part")).select("key", "sentence_no", "part.*")

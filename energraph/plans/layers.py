@@ -46,7 +46,7 @@ def structural_edges_clique(spark, folder):
 
 
 def _entity_layer(spark, folder):
-    return kept(spark, (folder, "entity layer"), lambda: settle(eb.entity_edges(one_per_node(spark, folder), EntityEdgeConfig(0.001))))
+    return kept(spark, (folder, "entity layer"), lambda: settle(eb.entity_edges(one_per_node(spark, folder), EntityEdgeConfig())))
 
 
 def entity_edges(spark, folder):

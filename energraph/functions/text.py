@@ -20,6 +20,16 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE + "+", " "))
 
 
+#: What ends a line, and digits that are no decimals, which number lists too.
+BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+DIGIT = r"[\p{Nd}" + "".join(chr(i) for i in range(0x20000) if chr(i).isdigit() and not chr(i).isdecimal()) + "]"
+
+
+def strip(c: Column) -> Column:
+    """Without whitespace of any kind at the ends."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def casefold(c: Column) -> Column:
     """Lower case with the foldings that lower case alone misses."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[ßẞ]", "ss"), "ς", "σ")
@@ -36,11 +46,11 @@ def normal_entities(names: Column) -> Column:
 
 def parse_listing(reply: Column) -> Column:
     """Lines without their bullet, or else their number; blank ones dropped."""
-    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(reply, BREAK), strip)
 
     def item(line: Column) -> Column:
         bullet = line.rlike(r"^[-*+]\s")
-        return F.trim(F.when(bullet, F.regexp_replace(line, r"^[-*+]\s+", "")).otherwise(F.regexp_replace(line, r"^\d+\.\s+", "")))
+        return strip(F.when(bullet, F.regexp_replace(line, r"^[-*+]\s+", "")).otherwise(F.regexp_replace(line, rf"^{DIGIT}+\.\s+", "")))
 
     return F.filter(F.transform(lines, item), lambda x: x != "")
 

@@ -136,7 +136,7 @@ def chunk_documents(spark, folder):
 
 def parse_listings(spark, folder):
     d = table(spark, folder, "documents").where("kind = 'listing' AND text IS NOT NULL")
-    return d.select("doc_id", F.posexplode(parse_listing(F.col("text"))).alias("n", "item")).where(F.col("item").rlike("^[ -~]+$"))
+    return d.select("doc_id", F.posexplode(parse_listing(F.col("text"))).alias("n", "item"))
 
 
 def subqueries(spark, folder):

@@ -45,3 +45,11 @@ def test_entity_layer_keeps_what_the_guard_allows(spark, folder):
     assert merged == {("n00", "n07"): 0.5, ("n07", "n00"): 0.5, ("n00", "n01"): 0.3, ("n01", "n00"): 0.3, ("n20", "n20#0"): 1.0, ("n20#0", "n20"): 1.0}
     assert {(r.u, r.v): r.layer for r in layers.layer_of_edge(spark, folder).collect()}["n00", "n07"] == "entity"
     assert {r.layer: r.n_edges for r in layers.layer_counts(spark, folder).collect()}["entity"] == 1
+
+
+def test_listing_items_in_any_script(spark, tmp_path):
+    lines = ["- 山風海の橋", "１. Башню восстановил", "　* Lebe vivió", "\t2. plain", "　　", "+ وصل تولينو"]
+    rows = [(1, "listing", "\n".join(lines)), (2, "listing", "Straße нет"), (3, "note", "- no"), (4, "listing", None)]
+    spark.createDataFrame(rows, "doc_id long, kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in layers.parse_listings(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, "山風海の橋"), (1, 1, "Башню восстановил"), (1, 2, "Lebe vivió"), (1, 3, "plain"), (1, 4, "وصل تولينو"), (2, 0, "Straße"), (2, 1, "нет")]

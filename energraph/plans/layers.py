@@ -145,7 +145,7 @@ def subqueries(spark, folder):
 
 
 def atom_search(spark, folder):
-    p = table(spark, folder, "passages").select(F.col("chunk_id").alias("id"), "title", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("text")).distinct()
+    p = table(spark, folder, "passages").select(F.col("chunk_id").alias("id"), "title", F.coalesce("text", F.lit("")).alias("text")).distinct()
     return search_atoms(p.withColumn("ord", F.col("id")), "lake", 20)
 
 

@@ -53,3 +53,11 @@ def test_listing_items_in_any_script(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, kind string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in layers.parse_listings(spark, str(tmp_path)).collect())
     assert got == [(1, 0, "山風海の橋"), (1, 1, "Башню восстановил"), (1, 2, "Lebe vivió"), (1, 3, "plain"), (1, 4, "وصل تولينو"), (2, 0, "Straße"), (2, 1, "нет")]
+
+
+def test_snippets_of_whole_texts(spark, tmp_path):
+    long = "Größe " + "湖" * 200
+    rows = [("Lake#1", None, "L'été à　Þingvellir — озеро"), ("b", "Salt LAKE", long), ("c", "lake", None), ("d", "river", "lake")]
+    spark.createDataFrame(rows, "chunk_id string, title string, text string").write.parquet(f"{tmp_path}/passages.parquet")
+    got = {r.id: r.snippet for r in layers.atom_search(spark, str(tmp_path)).collect()}
+    assert got == {"Lake#1": "L'été à Þingvellir — озеро", "b": long[:159] + "…", "c": ""}

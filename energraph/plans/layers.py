@@ -99,11 +99,27 @@ def node_masses(spark, folder):
     return gr.node_masses(n, MassConfig(enabled=True)).select("node", _r("mass"))
 
 
+def _texts(spark, folder):
+    return table(spark, folder, "propositions").groupBy("id").agg(F.max("text").alias("text"))
+
+
 def nli_subject_pairs(spark, folder):
-    """Entity-sharing propositions that name a rare shared entity in their first characters."""
-    p = table(spark, folder, "propositions").groupBy("id").agg(F.max("text").alias("text"))
-    pairs = _entity_layer(spark, folder).join(p.select(F.col("id").alias("u")), "u", "left_semi").join(p.select(F.col("id").alias("v")), "v", "left_semi").select(F.concat_ws("\t", "u", "v").alias("ord"), F.col("u").alias("a"), F.col("v").alias("b"))
-    return eb.shared_subject_pairs(pairs, p, one_per_node(spark, folder), NLICandidateConfig(max_subject_df_ratio=0.0005)).select("a", "b")
+    """Entity-sharing propositions that name a rare shared entity in their first characters.
+
+    A pair that shares an entity this rare is an edge of the layer with that guard already, so the
+    pairs that only more frequent entities make are left out before the join; none would be kept.
+    """
+    cfg, p = NLICandidateConfig(), _texts(spark, folder)
+    own = one_per_node(spark, folder)
+    pairs = eb.entity_edges(own, EntityEdgeConfig(cfg.max_subject_df_ratio)).join(p.select(F.col("id").alias("u")), "u", "left_semi").join(p.select(F.col("id").alias("v")), "v", "left_semi").select(F.concat_ws("\t", "u", "v").alias("ord"), F.col("u").alias("a"), F.col("v").alias("b"))
+    return eb.shared_subject_pairs(pairs, p, own, cfg).select("a", "b")
+
+
+def nli_candidates(spark, folder):
+    """Near propositions that name a rare shared entity in their first characters."""
+    p = _texts(spark, folder)
+    v = table(spark, folder, "vectors").groupBy("id").agg(F.max("embedding").alias("embedding")).join(p.select("id"), "id", "left_semi")
+    return eb.nli_candidates(v, p, one_per_node(spark, folder)).select("a", "b", _r("similarity"))
 
 
 def passage_fold(spark, folder):
@@ -217,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         structural_edges, structural_edges_clique, entity_edges, entity_edges_orders, edge_labels, derivation_edges, negative_edges, merge_layers, merge_layers_disabled, layer_of_edge, layer_counts,
-        node_masses, nli_subject_pairs, passage_fold, question_hops, pooled_passages, chunk_documents, parse_listings, subqueries, atom_search, prompt_cache, normal_names, collapsed_titles,
+        node_masses, nli_subject_pairs, nli_candidates, passage_fold, question_hops, pooled_passages, chunk_documents, parse_listings, subqueries, atom_search, prompt_cache, normal_names, collapsed_titles,
         learned_layer, edge_usage, prune_layers,
     )
 }

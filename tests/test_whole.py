@@ -61,3 +61,21 @@ def test_snippets_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "chunk_id string, title string, text string").write.parquet(f"{tmp_path}/passages.parquet")
     got = {r.id: r.snippet for r in layers.atom_search(spark, str(tmp_path)).collect()}
     assert got == {"Lake#1": "L'été à Þingvellir — озеро", "b": long[:159] + "…", "c": ""}
+
+
+def test_subjects_up_to_the_default_ratio(spark, tmp_path):
+    """600 nodes: "mill" in 3 (0.005) counts, "town" in 4 does not; 0.0005 would allow none."""
+    at = datetime.datetime(2026, 1, 1)
+    names = {"p0": ["Mill"], "p1": ["mill", "town"], "p2": ["town"], "p3": ["town"], "p4": ["town", "mill"]}
+    texts = {"p0": "Mill of old", "p1": "The mill in town", "p2": "town one", "p3": "town two", "p4": "town " * 9 + "mill"}
+    vecs = {"p0": [1.0, 0.0], "p1": [0.9, 0.1], "p2": [0.0, 1.0], "p3": [0.0, 1.0], "p4": [1.0, 0.1], "p5": [1.0, 0.0]}
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    put("entities", [(i, e, at) for i, e in names.items()] + [(f"x{i}", [], at) for i in range(595)], "node_id string, entities array<string>, loaded_at timestamp")
+    put("propositions", [(i, "c", t) for i, t in texts.items()], "id string, chunk_id string, text string")
+    put("vectors", list(vecs.items()), "id string, embedding array<float>")
+    assert [(r.a, r.b) for r in layers.nli_subject_pairs(spark, str(tmp_path)).collect()] == [("p0", "p1")]
+    near = layers.nli_candidates(spark, str(tmp_path)).collect()
+    assert [(r.a, r.b, round(r.similarity, 4)) for r in near] == [("p0", "p1", round(0.9 / 0.82**0.5, 4))]

@@ -24,8 +24,9 @@ from energraph.runtime import kept, settle
 from energraph.sources.tables import table
 
 WAVE = PropagationConfig(threshold_ratio=0.01, split_alpha=3.0, max_hop=4)
-#: Two colours a query and one hop, which leaves more than one cluster.
-THEMES = PropagationConfig(threshold_ratio=0.05, max_hop=1)
+#: Two colours a query. The SQL unrolls one hop of it.
+THEMES = PropagationConfig(threshold_ratio=0.05)
+THEMES_SQL = PropagationConfig(threshold_ratio=0.05, max_hop=1)
 HOPS = WAVE.max_hop + 1
 
 
@@ -214,9 +215,10 @@ def _per_query(spark, folder):
     v = vectors(spark, folder)
     web = ev.rankings(wave(spark, folder)[0].ranked()).withColumnRenamed("ranking", "web")
     top = ev.rankings(contacts(spark, folder, 10)).withColumnRenamed("ranking", "topk")
+    more = ev.rankings(_iterative(spark, folder)).withColumnRenamed("ranking", "iterative")
     same = v.groupBy("label").agg(F.array_sort(F.collect_list("id")).alias("gold"))  # an evaluation's gold sets
     q = v.where("vec_id % 20 = 0").select(F.col("id").alias("qid"), "label").join(same, "label")
-    return q.join(web, "qid").join(top, "qid").select(F.col("qid").alias("id"), (F.col("label") % 3 + 2).alias("hops"), "gold", F.col("gold").alias("bridge_gold"), F.lit("threshold").alias("stop_reason"), "topk", "web")
+    return q.join(web, "qid").join(top, "qid").join(more, "qid").select(F.col("qid").alias("id"), (F.col("label") % 3 + 2).alias("hops"), "gold", F.col("gold").alias("bridge_gold"), F.lit("threshold").alias("stop_reason"), "topk", "web", "iterative")
 
 
 def evaluation_report(spark, folder):
@@ -237,7 +239,7 @@ def thermal_sessions(spark, folder):
     n = v.count()
     adj, vecs = wave_graph(spark, folder), v.select("id", "embedding")
     turns = v.where("vec_id % 20 = 0").select(F.col("id").alias("qid"), "vec_id").withColumn("turn", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("other", F.pmod(F.col("vec_id") + F.col("turn"), F.lit(n))).join(v.select(F.col("vec_id").alias("other"), "embedding"), "other").select("qid", "turn", "embedding")
-    cfg = RetrievalConfig(PropagationConfig(threshold_ratio=0.01, split_alpha=3.0, max_hop=2))
+    cfg = RetrievalConfig(PropagationConfig(threshold_ratio=0.01, split_alpha=3.0))
 
     def run(rows, warm):
         return retrieve(rows.select("qid", "embedding"), vecs, adj, cfg, residue=warm).bundle
@@ -245,7 +247,7 @@ def thermal_sessions(spark, folder):
     return thermal_turns(turns, run, cfg=ThermalConfig()).select("qid", "turn", "node", _r("energy"), "hop", _r("injected"))
 
 
-def iterative_retrieval(spark, folder):
+def _iterative(spark, folder):
     """The next query is the vector of the best hit that is not the query itself."""
     vecs = vectors(spark, folder).select("id", "embedding")
 
@@ -253,8 +255,11 @@ def iterative_retrieval(spark, folder):
         best = held.where(F.col("node") != F.col("qid")).where(F.col("step") == step).groupBy("qid").agg(F.max_by("node", F.struct("score", "node")).alias("id"))
         return best.join(vecs, "id").select("qid", "embedding")
 
-    found = ev.iterative_retrieve(asked(spark, folder), vecs, follow, IterativeBaselineConfig(max_steps=2))
-    return found.select("qid", "node", _r("score"), "step", F.col("rank").cast("bigint").alias("rank"))
+    return kept(spark, (folder, "iterative"), lambda: settle(ev.iterative_retrieve(asked(spark, folder), vecs, follow, IterativeBaselineConfig())))
+
+
+def iterative_retrieval(spark, folder):
+    return _iterative(spark, folder).select("qid", "node", _r("score"), "step", F.col("rank").cast("bigint").alias("rank"))
 
 
 # The same in SQL
@@ -318,7 +323,7 @@ _ASKS = GRAPH + """, asks AS (SELECT a.id AS qid, c, b.e FROM v a, (SELECT unnes
 chits AS (SELECT q.qid, 'c' || q.c AS color, b.id AS node, list_cosine_similarity(q.e, b.e) AS weight FROM asks q, v b QUALIFY row_number() OVER (PARTITION BY q.qid, q.c ORDER BY list_cosine_similarity(q.e, b.e) DESC, b.id) <= 2),
 cseeds AS (SELECT * FROM chits WHERE weight > 0), """
 _COLORED = _ASKS + sql_waves(WAVE, "cseeds", budget="5.0")
-_PARTS = _ASKS.replace("WITH v", "WITH RECURSIVE v", 1) + sql_waves(THEMES, "cseeds", budget="5.0", name="z") + """,
+_PARTS = _ASKS.replace("WITH v", "WITH RECURSIVE v", 1) + sql_waves(THEMES_SQL, "cseeds", budget="5.0", name="z") + """,
 act AS (SELECT qid, node, sum(e) AS e FROM actz GROUP BY 1, 2),
 links AS (SELECT a.qid, a.node AS x, b.node AS y FROM act a JOIN adj d ON d.src = a.node AND d.w > 0 JOIN act b ON b.qid = a.qid AND b.node = d.dst),
 reach AS (SELECT qid, node AS x, node AS y FROM act UNION SELECT r.qid, r.x, l.y FROM reach r JOIN links l ON l.qid = r.qid AND l.x = r.y),

@@ -1,11 +1,14 @@
 """Queries over small tables of their own, held against results worked out here."""
 
 import datetime
+import math
+import os
 from itertools import combinations
 
 import pytest
 
-from energraph.plans import layers
+from energraph.config import PropagationConfig
+from energraph.plans import layers, waves
 
 N = 100
 #: One entity in two of 100 nodes (just within the guard of 0.02), one in three (beyond it).
@@ -79,3 +82,37 @@ def test_subjects_up_to_the_default_ratio(spark, tmp_path):
     assert [(r.a, r.b) for r in layers.nli_subject_pairs(spark, str(tmp_path)).collect()] == [("p0", "p1")]
     near = layers.nli_candidates(spark, str(tmp_path)).collect()
     assert [(r.a, r.b, round(r.similarity, 4)) for r in near] == [("p0", "p1", round(0.9 / 0.82**0.5, 4))]
+
+
+def iterated(vecs, ask):
+    """The steps of one query, one at a time: it goes on with the best id that its last step brought."""
+    own, held = ask, {}
+    for step in range(4):
+        score = {i: sum(x * y for x, y in zip(vecs[ask], v)) for i, v in enumerate(vecs)}
+        for i in sorted(score, key=lambda i: (-score[i], i))[:5]:
+            if i in held or len(held) < 20:
+                best, at = held.get(i, (-2, step))
+                held[i] = (max(best, score[i]), at)
+        if not (new := [(s, i) for i, (s, at) in held.items() if at == step and i != own]):
+            break
+        ask = max(new)[1]
+    return held
+
+
+def test_iterative_takes_all_steps(spark, tmp_path):
+    vecs = [[math.sin(1 + 7.3 * i * d + d * d) for d in range(1, 7)] for i in range(80)]
+    vecs = [[x / math.hypot(*v) for x in v] for v in vecs]
+    spark.createDataFrame([(i, e, i % 3) for i, e in enumerate(vecs)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(q, i): (round(s, 6), at) for q in range(0, 80, 20) for i, (s, at) in iterated(vecs, q).items()}
+    assert max(at for _, at in want.values()) == 3
+    got = {(int(r.qid[1:]), int(r.node[1:])): (round(r.score, 6), r.step) for r in waves.iterative_retrieval(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {r.system for r in waves.evaluation_report(spark, str(tmp_path)).collect()} == {"topk", "web", "iterative"}
+
+
+def test_hops_beyond_the_unrolled_ones(spark):
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    assert waves.thermal_sessions(spark, d).agg({"hop": "max"}).first()[0] > 2
+    assert waves.THEMES.max_hop == PropagationConfig().max_hop

@@ -3,6 +3,10 @@
 Lineage is cut by writing a Parquet table below the folder that the session names in
 ``spark.checkpoint.dir``. All executors share that folder, so a lost executor costs a retry of
 its tasks and nothing else. Only a local session without the setting gets a folder of its own.
+
+A table lives as long as any plan reads it: the driver holds a weak reference to the file index
+that all plans over the table share, and deletes the table once that is gone. Whatever is left is
+deleted when the interpreter ends.
 """
 
 from __future__ import annotations
@@ -10,10 +14,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = f"energraph-{uuid.uuid4().hex}"
+T = TypeVar("T")
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -38,12 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 _dirs: set[str] = set()
 _kept: dict[tuple, object] = {}
-MAX_KEPT = 64
+#: Tables that plans may still read: path and weak reference.
+_tables: list[tuple[str, object]] = []
+MAX_KEPT, TABLES_BEFORE_GC = 64, 400
+_since_gc = 0
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def state_of(spark: SparkSession, folder: str, names: list[str]) -> tuple:
+    """Changes whenever one of the folder's tables is written again: sizes, numbers of files and times."""
+    out = []
+    for name in names:
+        where, fs = _at(spark, f"{folder}/{name}.parquet")
+        content = fs.getContentSummary(where)
+        out.append((name, content.getLength(), content.getFileCount(), fs.getFileStatus(where).getModificationTime()))
+    return tuple(out)
 
-def kept(spark: SparkSession, key: tuple, make):
-    """A result whose tables are stored already, made once per session; the oldest of too many go."""
-    full = (spark.sparkContext.applicationId, *key)
+
+def kept(spark: SparkSession, folder: str, names: list[str], key: tuple, make: Callable[[], T]) -> T:
+    """A stored result over tables of a folder, made once for each state of them; the oldest of too many go."""
+    full = (spark.sparkContext.applicationId, folder, state_of(spark, folder, names), *key)
     if full not in _kept:
         while len(_kept) >= MAX_KEPT:
             _kept.pop(next(iter(_kept)))
@@ -51,24 +76,80 @@ def kept(spark: SparkSession, key: tuple, make):
     return _kept[full]
 
 
+def forget() -> None:
+    """Drop all kept results; their tables go once nothing else reads them."""
+    _kept.clear()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, fs = _at(spark, path)
+        fs.delete(where, True)
     except Exception:  # the session may be gone already
         pass
 
 
+def sweep(spark: SparkSession, collect: bool = False) -> int:
+    """Delete the tables that no plan reads any more; how many are left. ``collect`` has the JVM look first."""
+    if collect:
+        spark.sparkContext._jvm.System.gc()
+    alive = []
+    for path, ref in _tables:
+        try:
+            gone = ref.refersTo(None)
+        except Exception:  # of a session that has ended
+            continue
+        if gone:
+            _remove(spark, path)
+        else:
+            alive.append((path, ref))
+    _tables[:] = alive
+    return len(alive)
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def read_settled(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Read a table below the shared folder and free it with its last reader."""
+    global _since_gc
+    out = spark.read.schema(schema).parquet(path)
+    index = out._jdf.queryExecution().analyzed().relation().location()
+    _tables.append((path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    del index
+    _since_gc += 1
+    if _since_gc >= TABLES_BEFORE_GC:
+        _since_gc = 0
+        sweep(spark, collect=True)
+    return out
+
+
 def settle(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the reader of it."""
     spark = session_of(df)
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return read_settled(spark, path, df.schema)
+
+
+def settle_bucketed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df`` in as many buckets as a shuffle has partitions, so that joins on the columns never shuffle it.
+
+    The second value drops the table, which whoever asked for it must do.
+    """
+    spark = session_of(df)
+    n, path, name = shuffle_partitions(spark), new_path(spark), f"energraph_{uuid.uuid4().hex}"
+    df.repartition(n, *columns).write.option("path", path).bucketBy(n, *columns).sortBy(*columns).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _remove(spark, path)
+
+    return spark.table(name), drop
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -30,9 +30,18 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+#: What full case folding still changes in lower-case characters.
+_FOLDS = {c: c.casefold() for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))) if c.lower() == c != c.casefold()}
+_SHORT = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_LONG = {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
 def casefold(c: Column) -> Column:
-    """Lower case with the foldings that lower case alone misses."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[ßẞ]", "ss"), "ς", "σ")
+    """Full case folding: one character may become several, as in ß to ss."""
+    low = F.translate(F.lower(c), "".join(_SHORT), "".join(_SHORT.values()))
+    table = F.create_map(*[F.lit(x) for pair in _LONG.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(low, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(low.rlike("[" + "".join(_LONG) + "]"), spelled).otherwise(low)
 
 
 def normal_entity(c: Column) -> Column:
@@ -49,30 +58,36 @@ def parse_listing(reply: Column) -> Column:
     lines = F.transform(F.split(reply, BREAK), strip)
 
     def item(line: Column) -> Column:
-        bullet = line.rlike(r"^[-*+]\s")
-        return strip(F.when(bullet, F.regexp_replace(line, r"^[-*+]\s+", "")).otherwise(F.regexp_replace(line, rf"^{DIGIT}+\.\s+", "")))
+        return strip(F.when(line.rlike("^[-*+] "), F.substr(line, F.lit(3))).otherwise(F.regexp_replace(line, rf"^{DIGIT}+\. ", "")))
 
     return F.filter(F.transform(lines, item), lambda x: x != "")
 
 
+#: A mark at the head of a line, and how a line begins that only announces the list.
+MARK = rf"^{SPACE}*(?:[-*•]|\p{{Nd}}+[.)]){SPACE}*"
+CHATTER = ("query", "queries", "here")
+#: Fixed value: where a sentence ends within a line.
+BOUNDARY = rf"(?<=[.!?]){SPACE}"
+
+
 def parse_subqueries(reply: Column, question: Column, max_colors: int = 4) -> Column:
     """Sub-questions without list marks; chatter lines dropped, capped, the question if none is left."""
-    plain_lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^(?:[-*•]|\d+[.)])\s*", "")))
-    wanted = F.filter(plain_lines, lambda x: (x != "") & ~F.lower(x).rlike("^(?:query|queries|here)"))
+    bare = F.transform(F.split(reply, BREAK), lambda x: strip(F.regexp_replace(x, MARK, "")))
+    wanted = F.filter(bare, lambda x: (x != "") & ~F.lower(x).rlike("^(?:" + "|".join(CHATTER) + ")"))
     return F.when(F.size(wanted) > 0, F.slice(wanted, 1, max_colors)).otherwise(F.array(question))
 
 
 def parse_answer(reply: Column, max_words: int = 10) -> Column:
     """The first line, at most ``max_words`` words of it; empty when it says none."""
-    first = F.trim(F.get(F.split(F.trim(F.coalesce(reply, F.lit(""))), "\n"), F.lit(0)))
+    first = strip(F.get(F.split(strip(F.coalesce(reply, F.lit(""))), BREAK), F.lit(0)))
     words = F.filter(F.split(first, SPACE + "+"), lambda w: w != "")
     return F.when(F.upper(first).startswith("NONE"), "").otherwise(F.array_join(F.slice(words, 1, max_words), " "))
 
 
 def first_sentence(reply: Column) -> Column:
     """The first line that is not blank, up to its first end mark."""
-    line = F.trim(F.get(F.filter(F.split(reply, "\n"), lambda x: F.trim(x) != ""), F.lit(0)))
-    return F.coalesce(F.get(F.split(line, r"(?<=[.!?])\s"), F.lit(0)), F.lit(""))
+    line = F.get(F.filter(F.transform(F.split(reply, BREAK), strip), lambda x: x != ""), F.lit(0))
+    return F.coalesce(F.get(F.split(line, BOUNDARY, 2), F.lit(0)), F.lit(""))
 
 
 def snippet(text: Column, n: int) -> Column:

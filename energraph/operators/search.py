@@ -1,16 +1,27 @@
-"""Exact vector search in blocks, and search by text."""
+"""Exact vector search, and search by text.
+
+Few queries are broadcast and every vector stays where it is; many are cut into blocks that meet
+blocks of vectors. The size of the queries decides, measured before anything is planned.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from energraph.config import need
+from energraph.functions.text import casefold, snippet
+from energraph.runtime import session_of, spread
 
 #: Rows of a block of queries and of vectors; a task holds one of each.
 BLOCK_ROWS = 4096
+#: Queries of at most so many numbers (16 MB) are broadcast.
+BROADCAST_NUMBERS = 1 << 21
+METRICS = ("inner", "cosine")
 
 
 def dot(a: str, b: str):
@@ -23,53 +34,100 @@ def norm(a: str):
     return F.sqrt(dot(a, a))
 
 
-def _best(k: int, skip_self: bool):
-    def run(q: pa.Table, v: pa.Table) -> pa.Table:
-        kinds = [q.schema.field("qid").type, pa.string(), pa.float64()]
-        empty = pa.Table.from_arrays([pa.array([], t) for t in kinds], names=["qid", "node", "score"])
-        if not q.num_rows or not v.num_rows:
-            return empty
-        a, b = (np.stack(t.column("embedding").to_numpy()).astype(np.float64) for t in (q, v))
-        a, b = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (a, b))
-        order = np.argsort(np.array(v.column("id").to_pylist(), object), kind="stable")
-        b, ids = b[order], np.array(v.column("id").to_pylist(), object)[order]
-        qids = np.array(q.column("qid").to_pylist(), object)
-        take = min(k + skip_self, len(ids))
-        out_q, out_v, out_s = [], [], []
+def _scorer(k: int, skip_self: bool, unit: bool):
+    """A function from vectors and sorted candidates to the k best of each query: (row, place, score)."""
+
+    def matrix(column) -> np.ndarray:
+        x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if unit else x
+
+    def best(a: np.ndarray, qids: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        take, parts = min(k + skip_self, len(ids)), []
         for lo in range(0, len(a), 512):
             sims = a[lo : lo + 512] @ b.T
             floor = -np.partition(-sims, take - 1, axis=1)[:, take - 1]
-            r, c = np.nonzero(sims >= floor[:, None] - 1e-12)
-            same = (qids[lo + r] == ids[c]) if skip_self else np.zeros(len(r), bool)
-            r, c = r[~same], c[~same]
+            r, c = np.nonzero(sims >= floor[:, None] - 1e-12 * np.maximum(1, np.abs(floor[:, None])))
+            if skip_self:
+                other = qids[lo + r] != ids[c]
+                r, c = r[other], c[other]
             s = np.einsum("bd,bd->b", a[lo + r], b[c])  # the same sum whatever the block
-            by = np.lexsort((c, -s, r))
+            by = np.lexsort((ids[c].astype(str), -s, r))
             r, c, s = r[by], c[by], s[by]
-            place = np.arange(len(r)) - np.searchsorted(r, r, "left")
-            keep = place < k
-            out_q.append(qids[lo + r[keep]])
-            out_v.append(ids[c[keep]])
-            out_s.append(s[keep])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x).tolist(), t) for x, t in zip((out_q, out_v, out_s), kinds)], names=["qid", "node", "score"])
+            keep = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+            parts.append((lo + r[keep], c[keep], s[keep]))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    return matrix, best
 
-    return run
 
+def _in_blocks(k: int, skip_self: bool, unit: bool):
+    matrix, best = _scorer(k, skip_self, unit)
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = False) -> DataFrame:
-    """(qid, node, score, rank): the k most similar vectors of each query by cosine, ties by id.
+    def run(q: pa.Table, v: pa.Table) -> pa.Table:
+        kinds = [q.schema.field("qid").type, pa.string(), pa.float64()]
+        out = ([], [], [])
+        if q.num_rows and v.num_rows:
+            qids, ids = (np.array(t.column(c).to_pylist(), object) for t, c in ((q, "qid"), (v, "id")))
+            r, c, s = best(matrix(q.column("embedding")), qids, matrix(v.column("embedding")), ids)
+            out = (qids[r].tolist(), ids[c].tolist(), s)
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["qid", "node", "score"])
+
+    return run
 
-    queries: (qid, embedding); vectors: (id, embedding). Both sides are cut into blocks by hash,
-    each pair of blocks is one matrix product that yields at most k rows a query, and the partial
-    lists are merged by a window whose limit is applied before its shuffle.
+
+def _by_broadcast(queries: DataFrame, vectors: DataFrame, k: int, skip_self: bool, unit: bool, kind: str) -> DataFrame:
+    """Each task holds all queries and the k best that its vectors had so far for each of them."""
+    matrix, best = _scorer(k, skip_self, unit)
+    asked = queries.toArrow()  # bounded by BROADCAST_NUMBERS
+    names, qtype = asked.column("qid").to_pylist(), asked.schema.field("qid").type
+    shared = session_of(vectors).sparkContext.broadcast((np.array(names, object), matrix(asked.column("embedding")) if names else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, a = shared.value
+        if a is None:
+            return
+        r, i, s = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                ids = np.array(part.column(0).to_pylist(), object)
+                nr, c, ns = best(a, qids, matrix(part.column(1)), ids)
+                r, i, s = np.append(r, nr), np.append(i, ids[c]), np.append(s, ns)
+                by = np.lexsort((i.astype(str), -s, r))
+                r, i, s = r[by], i[by], s[by]
+                keep = np.arange(len(r)) - np.searchsorted(r, r, "left") < k
+                r, i, s = r[keep], i[keep], s[keep]
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[r].tolist(), qtype), pa.array(i.tolist(), pa.string()), pa.array(s)], names=["qid", "node", "score"])
+
+    return spread(vectors).mapInArrow(run, f"qid {kind}, node string, score double")
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, *, skip_self: bool = False, metric: str = "inner") -> DataFrame:
+    """(qid, node, score, rank): the k best vectors of each query, ties by id.
+
+    queries: (qid, embedding); vectors: (id, embedding). ``metric`` is ``inner``, the inner product
+    of what is stored, or ``cosine``, for which null and all-zero vectors are left out; null
+    vectors always are. Many queries: both sides are cut into blocks by hash and each pair of
+    blocks is one matrix product that yields at most k rows a query. The partial lists are merged
+    by a window whose limit is applied before its shuffle.
     """
     need(k >= 1, "k must be at least 1")
+    need(metric in METRICS, f"metric must be one of {METRICS}")
+    unit = metric == "cosine"
     kind = queries.schema["qid"].dataType.simpleString()
-    some = (F.col("embedding").isNotNull()) & F.exists("embedding", lambda x: x != 0)
-    q, v = queries.where(some), vectors.where(some)
-    nq, nv = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (q, v))
-    left = q.select(F.col("qid").alias("qid"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"))
-    right = v.select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"))
-    parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_best(k, skip_self), f"qid {kind}, node string, score double")
+    some = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    some = some & F.exists("embedding", lambda x: x != 0) if unit else some
+    q = queries.where(some).select(F.col("qid").alias("qid"), F.col("embedding").alias("embedding"))
+    v = vectors.where(some).select(F.col("id").cast("string").alias("id"), F.col("embedding").alias("embedding"))
+    numbers, rows = q.agg(F.sum(F.size("embedding")), F.count("*")).first()
+    if (numbers or 0) <= BROADCAST_NUMBERS:
+        parts = _by_broadcast(q, v, k, skip_self, unit, kind)
+    else:
+        nq, nv = (max(1, -(-n // BLOCK_ROWS)) for n in (rows, v.count()))
+        left = q.select("qid", "embedding", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("b"))
+        right = v.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("a"))
+        parts = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(_in_blocks(k, skip_self, unit), f"qid {kind}, node string, score double")
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "node")
     return parts.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
@@ -82,9 +140,7 @@ def atom_queries(vectors: DataFrame, ids: list[str]) -> DataFrame:
 def atom_search(texts: DataFrame, needle: str, limit: int = 20, snippet_chars: int = 160) -> DataFrame:
     """(id, title, snippet) of the first ``limit`` rows, by ord, whose id or title holds the needle in any case."""
     wanted = F.lit(needle.casefold())
-    hit = F.lower("id").contains(wanted) | F.lower(F.coalesce("title", F.lit(""))).contains(wanted)
-    from energraph.functions.text import snippet
-
+    hit = casefold(F.col("id")).contains(wanted) | casefold(F.coalesce("title", F.lit(""))).contains(wanted)
     return texts.where(hit).orderBy("ord").limit(limit).select("id", "title", snippet(F.col("text"), snippet_chars).alias("snippet"))
 
 
@@ -94,5 +150,3 @@ def pair_similarity(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     both = pairs.join(v.withColumnsRenamed({"id": "a", "embedding": "_x"}), "a", "left").join(v.withColumnsRenamed({"id": "b", "embedding": "_y"}), "b", "left")
     cosine = dot("_x", "_y") / F.greatest(norm("_x") * norm("_y"), F.lit(1e-12))
     return both.withColumn("sim", F.coalesce(cosine, F.lit(0.0))).drop("_x", "_y")
-
-

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from energraph.config import EntityExtractionConfig, EvaluationConfig, PropositionConfig
-from energraph.functions.text import collapse, casefold, normal_entities, parse_listing
+from energraph.config import EntityExtractionConfig, EvaluationConfig, PropositionConfig, need
+from energraph.functions.text import casefold, collapse, normal_entities, parse_listing, strip
+from energraph.operators.graph import check_unique
 
 
 def sample_ids(ids: list[str], cfg: EvaluationConfig) -> list[str]:
@@ -73,16 +74,23 @@ def bridge_approximation(kind: Column, answer: Column, gold: Column, texts: Colu
 
     gold and texts are parallel arrays.
     """
-    said = F.lower(F.trim(answer))
+    said = F.lower(strip(answer))
     without = F.transform(F.filter(F.arrays_zip(gold.alias("g"), texts.alias("t")), lambda x: ~F.contains(F.lower(x["t"]), said)), lambda x: x["g"])
     every = kind.contains("comparison") | said.isin("yes", "no") | (F.size(without) == 0)
     return F.when(every, gold).otherwise(without)
 
 
 def chunk_documents(documents: DataFrame) -> DataFrame:
-    """(id, source_id, position, section_id, layer, length, text) of (source_id, units array<struct<text, section_id>>)."""
+    """(id, source_id, position, section_id, layer, length, text) of (source_id, units array<struct<text, section_id>>).
+
+    A source that comes twice or has no name is refused, a blank unit fails the job.
+    """
+    need(documents.where("source_id IS NULL OR source_id = ''").isEmpty(), "a document needs a source")
+    check_unique(documents, "source_id")
     each = documents.select("source_id", F.posexplode("units").alias("position", "u"))
-    return each.select(F.concat_ws(":", "source_id", "position").alias("id"), "source_id", "position", F.col("u.section_id").alias("section_id"), F.lit("chunk").alias("layer"), F.char_length("u.text").alias("length"), F.col("u.text").alias("text"))
+    blank = F.coalesce(strip(F.col("u.text")), F.lit("")) == ""
+    text = F.when(blank, F.raise_error(F.concat(F.lit("a blank unit in "), F.col("source_id"))).cast("string")).otherwise(F.col("u.text"))
+    return each.select(F.concat_ws(":", "source_id", "position").alias("id"), "source_id", "position", F.col("u.section_id").alias("section_id"), F.lit("chunk").alias("layer"), F.char_length(text).alias("length"), text.alias("text"))
 
 
 def parse_propositions(replies: DataFrame, cfg: PropositionConfig = PropositionConfig()) -> DataFrame:
@@ -93,7 +101,7 @@ def parse_propositions(replies: DataFrame, cfg: PropositionConfig = PropositionC
     """
     lines = replies.select("chunk_id", "source_id", F.posexplode(parse_listing(F.col("reply"))).alias("pos", "line"))
     against = F.col("line").startswith("NEG:") if cfg.tag_polarity else F.lit(False)
-    text = F.when(against, F.trim(F.expr("substring(line, 5)"))).otherwise(F.col("line"))
+    text = F.when(against, strip(F.expr("substring(line, 5)"))).otherwise(F.col("line"))
     rows = lines.withColumns({"polarity": F.when(against, -1).otherwise(1), "text": text}).where(F.char_length("text") >= cfg.min_chars)
     norm = casefold(collapse(F.col("text")))
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("chunk_id", norm).orderBy("pos"))).where("nth = 1")

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from energraph.config import ConsolidationConfig, EntityEdgeConfig, NLICandidateConfig, SemanticEdgeConfig, StructuralEdgeConfig, need
+from energraph.functions.text import casefold
 from energraph.operators.graph import canonical
 from energraph.operators.search import top_k
+from energraph.runtime import settle
 
-#: Chunks that share one entity are joined in blocks of this size, so a frequent entity is many tasks.
+#: Members of a group are paired in blocks of this size, so a large group is many tasks.
 ENTITY_BLOCK = 2048
+#: (vectors (id, embedding), k) to (qid, node, score): the k nearest others of each vector by cosine.
+Neighbours = Callable[[DataFrame, int], DataFrame]
 
 
-def semantic_edges(vectors: DataFrame, cfg: SemanticEdgeConfig = SemanticEdgeConfig()) -> DataFrame:
+def exact_neighbours(vectors: DataFrame, k: int) -> DataFrame:
+    """Compares all with all, in blocks: exact, and quadratic in the number of vectors."""
+    return top_k(vectors.select(F.col("id").alias("qid"), "embedding"), vectors, k, skip_self=True, metric="cosine")
+
+
+def semantic_edges(vectors: DataFrame, cfg: SemanticEdgeConfig = SemanticEdgeConfig(), neighbours: Neighbours = exact_neighbours) -> DataFrame:
     """(u, v, w): cosine of pairs of which one end has the other among its k nearest, above the bound.
 
-    vectors: (id, embedding), ids unique. Exact: blocks of queries against blocks of vectors.
+    vectors: (id, embedding), ids unique. The search can be replaced by an index whose cost does
+    not grow with the square of the vectors. A vector that is null or all zero fails the job.
     """
-    near = top_k(vectors.select(F.col("id").alias("qid"), "embedding"), vectors, cfg.k, skip_self=True)
+    zero = ~F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
+    checked = vectors.select("id", F.when(zero, F.raise_error(F.concat(F.lit("no direction in the vector of "), F.col("id").cast("string"))).cast(vectors.schema["embedding"].dataType)).otherwise(F.col("embedding")).alias("embedding"))
+    near = neighbours(checked, cfg.k)
     pairs = near.where(F.col("score") > cfg.min_similarity).select(F.least("qid", "node").alias("u"), F.greatest("qid", "node").alias("v"), F.col("score").alias("w"))
     return pairs.groupBy("u", "v").agg(F.max("w").alias("w"))
 
@@ -36,38 +50,98 @@ def entity_frequency(entities: DataFrame, max_ratio: float) -> DataFrame:
     return mentions(entities).groupBy("entity").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= F.lit(max_ratio) * n))
 
 
+def pairs_within(rows: DataFrame, keys: list[str], size: Column) -> DataFrame:
+    """(keys, u, v), u < v: every two ids of the same group (keys, id), whose size the rows carry.
+
+    A group is split into blocks by a hash of the id and joined block by block, so that no task
+    takes more than two blocks of it.
+    """
+    blocks = F.ceil(size / ENTITY_BLOCK).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("id"), "blocks"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = placed.select(*keys, F.col("id").alias("u"), F.col("own").alias("a"), F.explode(every).alias("b"))
+    right = placed.select(*keys, F.col("id").alias("v"), F.explode(every).alias("a"), F.col("own").alias("b"))
+    return left.join(right, [*keys, "a", "b"]).where("u < v").select(*keys, "u", "v")
+
+
+def entity_members(entities: DataFrame, cfg: EntityEdgeConfig = EntityEdgeConfig()) -> DataFrame:
+    """(entity, node_id, df): the layer as membership, linear in the mentions where the pairs are not.
+
+    Two nodes are linked by the entities they share, each with 1 / df.
+    """
+    return mentions(entities).join(entity_frequency(entities, cfg.max_df_ratio), "entity").select("entity", "node_id", "df")
+
+
 def entity_edges(entities: DataFrame, cfg: EntityEdgeConfig = EntityEdgeConfig()) -> DataFrame:
     """(u, v, w): 1/df summed over shared entities, in the order of their names.
 
     entities: (node_id, entities array), one row per node, empty arrays included. The frequency
-    guard runs before the join. The nodes of one entity are split into blocks and joined block by
-    block, so that a frequent entity is spread over many tasks.
+    guard runs before the join. Every pair of an entity comes out, so the result grows with the
+    square of the most frequent entities' df; ``entity_members`` is the linear form.
     """
-    few = entity_frequency(entities, cfg.max_df_ratio)
-    own = mentions(entities).join(few, "entity")
-    blocks = F.ceil(F.col("df") / ENTITY_BLOCK).cast("int")
-    placed = own.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node_id"), "blocks"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = placed.select("entity", "df", F.col("node_id").alias("u"), F.col("own").alias("a"), F.explode(every).alias("b"))
-    right = placed.select("entity", F.col("node_id").alias("v"), F.explode(every).alias("a"), F.col("own").alias("b"))
-    shared = left.join(right, ["entity", "a", "b"]).where("u < v").select("u", "v", F.struct("entity", (F.lit(1.0) / F.col("df")).alias("w")).alias("s"))
+    own = entity_members(entities, cfg).select("entity", F.col("node_id").alias("id"), "df")
+    shared = pairs_within(own, ["entity", "df"], F.col("df")).select("u", "v", F.struct("entity", (F.lit(1.0) / F.col("df")).alias("w")).alias("s"))
     terms = F.array_sort(F.collect_list("s"))
     return shared.groupBy("u", "v").agg(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["w"]).alias("w"))
 
 
+_STEPS = pa.schema([("part", pa.int32()), ("place", pa.string()), ("source_id", pa.string()), ("position", pa.int64()), ("a", pa.string()), ("b", pa.string())])
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours within a sorted partition, and its first and last row, at which others continue."""
+    part, before = TaskContext.get().partitionId(), None
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        out = []
+        for row in rows:
+            if before is None:
+                out.append((part, "first", *row, None))
+            elif before[0] == row[0]:
+                if before[1] == row[1]:
+                    raise ValueError(f"{before[2]} and {row[2]} share a position of {row[0]}")
+                out.append((part, "step", None, None, before[2], row[2]))
+            before = row
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _STEPS)], schema=_STEPS)
+    if before is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, "last", *before, None), _STEPS)], schema=_STEPS)
+
+
+def adjacent_pairs(refs: DataFrame) -> DataFrame:
+    """(a, b): consecutive ids of a source by position, gaps allowed.
+
+    A source may be most of the table: the rows are range-partitioned by (source, position), each
+    partition links its own rows, and the driver links the ends of neighbouring partitions, of
+    which it holds two rows a partition.
+    """
+    rows = refs.where("source_id IS NOT NULL AND position IS NOT NULL").select(F.col("source_id").cast("string"), F.col("position").cast("bigint"), F.col("id").cast("string"))
+    ordered = rows.repartitionByRange("source_id", "position", "id").sortWithinPartitions("source_id", "position", "id")
+    found = settle(ordered.mapInArrow(_steps, "part int, place string, source_id string, position bigint, a string, b string"))
+    ends = sorted(found.where("place <> 'step'").select("part", "place", "source_id", "position", "a").collect())
+    across = []
+    for last, first in zip(ends[1::2], ends[2::2]):
+        if last.source_id == first.source_id:
+            need(last.position != first.position, f"{last.a} and {first.a} share a position of {last.source_id}")
+            across.append((last.a, first.a))
+    return found.where("place = 'step'").select("a", "b").unionByName(refs.sparkSession.createDataFrame(across, "a string, b string"))
+
+
 def structural_edges(refs: DataFrame, cfg: StructuralEdgeConfig = StructuralEdgeConfig()) -> DataFrame:
     """(u, v, w): the strongest of adjacent, same section and same document.
 
-    refs: (id, source_id, position, section_id). A relation of weight 0 is not planned at all.
+    refs: (id, source_id, position, section_id), ids unique; a position that a source has twice is
+    refused. A relation of weight 0 is not planned at all. Same section and same document give
+    every pair of the group, as many as its size squared.
     """
     parts = []
     if cfg.adjacent > 0:
-        by = Window.partitionBy("source_id").orderBy("position")
-        parts.append(refs.select(F.col("id").alias("a"), F.lead("id").over(by).alias("b"), F.lit(float(cfg.adjacent)).alias("w")).where("b IS NOT NULL"))
-    for weight, keys in ((cfg.same_section, ["source_id", "section_id"]), (cfg.same_document, ["source_id"])):
-        if weight > 0:
-            own = refs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
-            parts.append(own.select(*keys, F.col("id").alias("a")).join(own.select(*keys, F.col("id").alias("b")), keys).where("a < b").select("a", "b", F.lit(float(weight)).alias("w")))
+        parts.append(adjacent_pairs(refs).select("a", "b", F.lit(float(cfg.adjacent)).alias("w")))
+    for strength, keys in ((cfg.same_section, ["source_id", "section_id"]), (cfg.same_document, ["source_id"])):
+        if strength > 0:
+            own = refs.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*keys, "id")
+            sized = own.join(own.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1"), keys)
+            parts.append(pairs_within(sized, keys, F.col("size")).select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(float(strength)).alias("w")))
     if not parts:
         return refs.sparkSession.createDataFrame([], "u string, v string, w double")
     every = parts[0]
@@ -88,23 +162,23 @@ def negative_adjacency(edges: DataFrame) -> DataFrame:
 
 
 def shared_subject_pairs(candidates: DataFrame, texts: DataFrame, entities: DataFrame, cfg: NLICandidateConfig = NLICandidateConfig()) -> DataFrame:
-    """Candidates (ord, a, b) that share a rare entity named early in both texts, order kept.
+    """Candidates (ord, a, b) that share a rare entity named early in both texts, in any case; order kept.
 
     texts: (id, text). A pair without text or entities is dropped.
     """
     n = entities.select("node_id").distinct().count()
-    own = mentions(entities)
+    own = mentions(entities).select("node_id", casefold(F.col("entity")).alias("entity")).distinct()
     rare = own.groupBy("entity").agg(F.count("*").alias("df")).where(F.col("df") <= F.lit(cfg.max_subject_df_ratio) * n)
-    early = F.lower(F.substring("text", 1, cfg.subject_prefix_chars))
+    early = casefold(F.substring("text", 1, cfg.subject_prefix_chars))
     subjects = own.join(rare, "entity").join(texts, F.col("node_id") == F.col("id")).where(F.instr(early, F.col("entity")) > 0).select("node_id", "entity")
     a, b = (subjects.select(F.col("node_id").alias(x), F.col("entity").alias(f"name_{x}")) for x in ("a", "b"))
     hits = candidates.join(a, "a").join(b, "b").where("name_a = name_b").select("ord").distinct()
     return candidates.join(hits, "ord", "left_semi")
 
 
-def nli_candidates(vectors: DataFrame, texts: DataFrame, entities: DataFrame, cfg: NLICandidateConfig = NLICandidateConfig()) -> DataFrame:
+def nli_candidates(vectors: DataFrame, texts: DataFrame, entities: DataFrame, cfg: NLICandidateConfig = NLICandidateConfig(), neighbours: Neighbours = exact_neighbours) -> DataFrame:
     """(ord, a, b, similarity): near pairs, most similar first, filtered by subject before the cap."""
-    edges = semantic_edges(vectors, SemanticEdgeConfig(cfg.top_k, cfg.min_similarity))
+    edges = semantic_edges(vectors, SemanticEdgeConfig(cfg.top_k, cfg.min_similarity), neighbours)
     pairs = edges.select(F.concat_ws("\t", "u", "v").alias("ord"), F.col("u").alias("a"), F.col("v").alias("b"), F.col("w").alias("similarity"))
     kept = shared_subject_pairs(pairs, texts, entities, cfg) if cfg.require_shared_subject else pairs
     return kept.orderBy(F.desc("similarity"), "a", "b").limit(cfg.max_pairs)

@@ -23,9 +23,14 @@ def check_unique(df: DataFrame, key: str) -> None:
     need(df.groupBy(key).count().where("count > 1").isEmpty(), f"{key} is not unique")
 
 
+def weight() -> Column:
+    """The weight of an edge row; a negative or missing one fails the job that reads it."""
+    return F.when(F.col("w") >= 0, F.col("w")).otherwise(F.raise_error(F.lit("edge weights must not be negative or null")).cast("double"))
+
+
 def last_written(edges: DataFrame, *keys: str) -> DataFrame:
     """One weight per key: that of the highest ``ord``."""
-    return edges.groupBy(*keys).agg(F.max_by("w", "ord").alias("w"))
+    return edges.groupBy(*keys).agg(F.max_by(weight(), "ord").alias("w"))
 
 
 def mirrored(pairs: DataFrame) -> DataFrame:
@@ -44,17 +49,22 @@ def from_edges(edges: DataFrame, directed: bool = False) -> DataFrame:
 def from_layers(edges: DataFrame, weights: LayerWeights = LayerWeights()) -> DataFrame:
     """edges (layer, u, v, w, ord) to adjacency (src, dst, w), the weighted sum over the layers.
 
-    A layer of weight 0 takes its edges out before anything is shuffled. The layers are added in
-    their fixed order, so the sum is the same in every run.
+    A layer of weight 0 takes its edges out before anything is shuffled. One aggregate finds the
+    last weight of every layer, and the layers are added in their fixed order, so the sum is the
+    same in every run.
     """
     on = weights.enabled()
-    pairs = last_written(edges.where(F.col("layer").isin(*on)).select("layer", *canonical(), "w", "ord"), "u", "v", "layer")
-    parts = [F.coalesce(F.max(F.when(F.col("layer") == name, F.col("w"))) * weight, F.lit(0.0)).alias(name) for name, weight in on.items()]
-    wide = pairs.groupBy("u", "v").agg(*(parts or [F.lit(0.0).alias("none")]))
+    rows = edges.where(F.col("layer").isin(*on)).select("layer", *canonical(), weight().alias("w"), "ord")
+
+    def last(name: str) -> Column:
+        here = F.col("layer") == name
+        return F.max_by(F.when(here, F.col("w")), F.when(here, F.col("ord"))).alias(name)
+
+    wide = rows.groupBy("u", "v").agg(*([last(name) for name in on] or [F.lit(0.0).alias("none")]))
     total = F.lit(0.0)
     for name in LAYERS:
         if name in on:
-            total = total + F.col(name)
+            total = total + F.coalesce(F.col(name) * on[name], F.lit(0.0))
     return mirrored(wide.select("u", "v", total.alias("w")))
 
 

@@ -2,9 +2,10 @@
 
 All queries and colours run at once; every table is keyed by (qid, color). One hop is one
 DataFrame plan over (frontier, adjacency, active), written to the shared folder to cut lineage,
-and the driver only learns how many rows the next frontier has. The adjacency is repartitioned by
-``src`` and persisted once, so later hops reuse that partitioning; a small frontier is broadcast by
-the adaptive planner on its measured size.
+and the driver only learns how many rows the next frontier has. The adjacency is written once in
+buckets of (src, piece), so no hop shuffles it; a small frontier is broadcast by the adaptive
+planner on its measured size. A hub is cut into as many pieces as its degree and the number of
+runs that may meet it ask for, and what a node shares out is summed with partial sums.
 
 Order within a hop: activate, polarity, absorption, conflict, (stop at max_nodes), redundancy
 threshold, distribute, gate. Seeds are never gated. Energy that does not pass a gate is gone, but
@@ -16,18 +17,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from energraph.config import ConflictConfig, DedupConfig, NegativeSeedConfig, PolarityConfig, PropagationConfig, need
 from energraph.operators.graph import node_masses
 from energraph.operators.similarity import Similarity
-from energraph.runtime import session_of, settle
+from energraph.runtime import session_of, settle, settle_bucketed
 
 KEY = ["qid", "color"]
 #: Up to so many runs, their rows of four numbers are broadcast to the gate.
 MAX_BROADCAST_RUNS = 500_000
+#: Offers that one piece of a node may yield in a hop, and from how many neighbours on a node is cut.
+PIECE_OFFERS, HUB_DEGREE = 1 << 20, 256
 
 
 @dataclass(frozen=True)
@@ -111,6 +113,25 @@ class _Run:
     too_deep: list[DataFrame] = field(default_factory=list)
 
 
+def live_edges(adj: DataFrame, alpha: float, n_runs: int, mass: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(edges (src, piece, dst, part[, src_mass, dst_mass]), hubs (src, pieces) or None if there are none).
+
+    Were all runs to meet a node in the same hop, each of its pieces would yield at most about
+    ``PIECE_OFFERS`` offers.
+    """
+    live = adj.where("w > 0 AND src <> dst").select("src", "dst", F.pow("w", F.lit(float(alpha))).alias("part"))
+    if mass is not None:
+        for end in ("src", "dst"):
+            live = live.join(mass.select(F.col("node").alias(end), F.col("mass").alias(f"{end}_mass")), end, "left")
+    degree = live.groupBy("src").agg(F.count("*").alias("degree"))
+    offers = F.col("degree") * F.lit(n_runs)
+    pieces = F.least(F.col("degree"), F.ceil(offers / PIECE_OFFERS)).cast("int").alias("pieces")
+    hubs = settle(degree.where((F.col("degree") >= HUB_DEGREE) & (offers > PIECE_OFFERS)).select("src", pieces))
+    if hubs.isEmpty():
+        return live.withColumn("piece", F.lit(0)), None
+    return live.join(hubs, "src", "left").withColumn("piece", F.coalesce(F.pmod(F.hash("dst"), "pieces"), F.lit(0))).drop("pieces"), hubs
+
+
 def propagate(
     adj: DataFrame,
     seeds: DataFrame,
@@ -157,9 +178,11 @@ def propagate(
     field_ = _keyed(absorb, runs) if negative_seed and negative_seed.enabled else None
     clash = negative if negative is not None and conflict and conflict.enabled else None
     cuts = similarity is not None and dedup is not None and dedup.enabled
-    live_edges = adj.where("w > 0 AND src <> dst").select("src", "dst", F.pow("w", F.lit(float(cfg.split_alpha))).alias("part")).repartition("src").persist(StorageLevel.DISK_ONLY)
+    n_runs = runs.count()
+    edges, hubs = live_edges(adj, cfg.split_alpha, n_runs, mass)
+    edges, drop_edges = settle_bucketed(edges, ["src", "piece"])
 
-    runs_side = F.broadcast(runs) if runs.count() <= MAX_BROADCAST_RUNS else runs
+    runs_side = F.broadcast(runs) if n_runs <= MAX_BROADCAST_RUNS else runs
     state = _Run()
     none = spark.createDataFrame
     empty = {
@@ -183,8 +206,10 @@ def propagate(
     first = kept.join(runs, KEY).select(*KEY, "node", (F.col("budget") * F.col("weight") / F.sum("weight").over(total)).alias("energy"))
     if warm is not None:
         first = first.unionByName(warm).groupBy(*KEY, "node").agg(F.sum("energy").alias("energy"))
+
     def placed(df: DataFrame) -> DataFrame:
-        return settle(df.withColumn("place", F.row_number().over(total.orderBy(F.desc("energy"), "node"))))
+        """With their places; one more than fits is kept, which tells that a run is full."""
+        return settle(df.withColumn("place", F.row_number().over(total.orderBy(F.desc("energy"), "node"))).where(F.col("place") <= cfg.max_nodes + 1))
 
     frontier, hop, most = placed(first), 0, 0
     while True:
@@ -232,7 +257,11 @@ def propagate(
             spreading = spreading.join(over, KEY, "left_anti")
 
         # distribute over live neighbours only
-        ahead = spreading.join(live_edges, F.col("node") == F.col("src")).select(*KEY, "src", "dst", "energy", "part")
+        if hubs is None:
+            aimed = spreading.withColumn("piece", F.lit(0))
+        else:
+            aimed = spreading.join(hubs.withColumnRenamed("src", "node"), "node", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+        ahead = aimed.withColumnRenamed("node", "src").join(edges, ["src", "piece"]).drop("piece")
         ahead = ahead.join(active.select(*KEY, F.col("node").alias("dst")), [*KEY, "dst"], "left_anti")
         if cuts:
             going = frontier.select(*KEY).distinct() if over is None else frontier.select(*KEY).distinct().join(over, KEY, "left_anti")
@@ -241,22 +270,18 @@ def propagate(
             copies = settle(similarity.survivors(ahead.select(*KEY, F.col("dst").alias("node")).distinct(), active.select(*KEY, "node"), taus))
             state.suppressed.append(copies)
             ahead = ahead.join(copies.select(*KEY, F.col("node").alias("dst")), [*KEY, "dst"], "left_anti")
-        ahead = ahead.withColumn("all_parts", F.sum("part").over(Window.partitionBy(*KEY, "src")))
-        carry = F.lit(float(cfg.damping))
+        ahead = ahead.join(ahead.groupBy(*KEY, "src").agg(F.sum("part").alias("all_parts")), [*KEY, "src"])
+        carry, gate, heavy = F.lit(float(cfg.damping)), F.col("threshold"), []
         if mass is not None:
-            ahead = ahead.join(mass.withColumnsRenamed({"node": "src", "mass": "src_mass"}), "src", "left")
             carry = F.pow(carry, 1 / F.coalesce("src_mass", F.lit(1.0)))
-        offers = settle(ahead.select(*KEY, F.lit(hop).alias("hop"), "src", "dst", (F.col("energy") * carry * F.col("part") / F.col("all_parts")).alias("share")))
+            gate, heavy = gate * F.coalesce("mass", F.lit(1.0)), ["dst_mass"]
+        offers = settle(ahead.select(*KEY, F.lit(hop).alias("hop"), "src", "dst", (F.col("energy") * carry * F.col("part") / F.col("all_parts")).alias("share"), *heavy))
         state.offers.append(offers)
-        arrivals = offers.groupBy(*KEY, F.col("dst").alias("node")).agg(F.sum("share").alias("energy")).join(runs_side, KEY)
-        gate = F.col("threshold")
-        if mass is not None:
-            arrivals = arrivals.join(mass, "node", "left")
-            gate = gate * F.coalesce("mass", F.lit(1.0))
+        arrivals = offers.groupBy(*KEY, F.col("dst").alias("node")).agg(F.sum("share").alias("energy"), *[F.max(c).alias("mass") for c in heavy]).join(runs_side, KEY)
         frontier = placed(arrivals.where(F.col("energy") >= gate).select(*KEY, "node", "energy"))
         hop += 1
 
-    live_edges.unpersist()
+    drop_edges()
     return _bundle(runs, state, empty, source_of)
 
 

@@ -65,6 +65,12 @@ def _walk(order: list[tuple[str, float, str]], width: int, sims: dict[tuple[str,
     return out
 
 
+def contact_pairs(contacts: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of contacts (qid, color, node) of the same run: as many as the square of a run's few contacts."""
+    a, b = (contacts.select(*KEY, F.col("node").alias(x)) for x in ("a", "b"))
+    return a.join(b, KEY).where("a < b").select("a", "b").distinct()
+
+
 def select_contacts(contacts: DataFrame, width: int, dedup: DedupConfig | None = None, pairs: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(qid, color, node, weight, survivor, tau): the first distinct positive contacts.
 
@@ -140,7 +146,8 @@ def retrieve(
     """Search, select and spread all queries (qid, embedding), with a ``color`` column if coloured.
 
     A query without any positive contact raises; so does a coloured one whose first colour has
-    none, while later colours without a contact are left out.
+    none, while later colours without a contact are left out. The order of the colours is that of
+    a column ``place``, or else that of their names.
     """
     colored = "color" in queries.columns
     asked = queries if colored else queries.withColumn("color", F.lit("all"))
@@ -150,7 +157,7 @@ def retrieve(
     found = top_k(keyed, vectors, depth).select(F.substring_index("qid", "\t", 1).alias("qid"), F.substring_index("qid", "\t", -1).alias("color"), "node", "score")
     picked = settle(select_contacts(found, cfg.seed_width, dedup, pairs, sources))
     seeds = picked.where("survivor IS NULL").select(*KEY, "node", "weight")
-    primary = asked.groupBy("qid").agg(F.min("color").alias("color"))
+    primary = asked.groupBy("qid").agg((F.min_by("color", "place") if "place" in asked.columns else F.min("color")).alias("color"))
     need(primary.join(seeds, KEY, "left_anti").isEmpty(), "a query has no positive contact")
     field = None
     if negatives is not None:

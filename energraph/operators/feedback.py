@@ -46,7 +46,8 @@ def thermal_turns(turns: DataFrame, run: Callable[[DataFrame, DataFrame | None],
         bundle = run(rows, warm)
         now = settle(bundle.activations.withColumn("turn", F.lit(turn)).join(bundle.runs.select("qid", "color", "injected"), ["qid", "color"]))
         out = now if out is None else out.unionByName(now)
-        last = now.select("qid", "node", "energy") if last is None else now.select("qid", "node", "energy").unionByName(last.join(now.select("qid").distinct(), "qid", "left_anti"))
+        here = now.select("qid", "node", "energy")
+        last = here if last is None else settle(here.unionByName(last.join(rows.select("qid").distinct(), "qid", "left_anti")))
     return out
 
 
@@ -74,23 +75,38 @@ def reinforce(learned: DataFrame | None, pairs: DataFrame, cfg: LearnedLayerConf
     return both.select("u", "v", F.least(F.lit(float(cfg.max_strength)), aged).alias("strength"))
 
 
+#: Runs of an edge that are folded at once.
+RUN_BLOCK = 4096
+
+
 def reinforce_runs(pairs: DataFrame, cfg: LearnedLayerConfig = LearnedLayerConfig()) -> DataFrame:
     """(u, v, strength) after many runs (run, u, v, gain), numbered 0, 1, ...: one pass for any number.
 
     Edges are independent, so each edge folds its own runs in order and ages by the number of runs
-    in between; the result equals ``reinforce`` run by run.
+    in between; the result equals ``reinforce`` run by run. A run turns a strength x into
+    min(c, a * x + b), and so does any sequence of runs, so an edge used in very many runs is first
+    folded block by block and no list holds more than ``RUN_BLOCK`` of them.
     """
     total = pairs.agg(F.max("run")).first()[0]
-    per_run = pairs.groupBy("u", "v", "run").agg(F.sum("gain").alias("gain"))
-    runs = per_run.groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("run", "gain"))).alias("runs"))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("at"))
+    keep, most = F.lit(float(cfg.forgetting)), F.lit(float(cfg.max_strength))
+    per_run = pairs.groupBy("u", "v", F.col("run").cast("bigint").alias("run")).agg((F.sum("gain") * cfg.learning_rate).alias("gain"))
+    blocks = per_run.groupBy("u", "v", F.floor(F.col("run") / RUN_BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("run", "gain"))).alias("runs"))
+    line = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("c"), (F.col("block") * RUN_BLOCK).alias("at"))
 
     def step(acc, r):
-        aged = acc["s"] * F.pow(F.lit(cfg.forgetting), r["run"].cast("bigint") - acc["at"])
-        return F.struct(F.least(F.lit(float(cfg.max_strength)), aged + cfg.learning_rate * r["gain"]).alias("s"), r["run"].cast("bigint").alias("at"))
+        age = F.pow(keep, r["run"] - acc["at"])
+        return F.struct((acc["a"] * age).alias("a"), (acc["b"] * age + r["gain"]).alias("b"), F.least(most, acc["c"] * age + r["gain"]).alias("c"), r["run"].alias("at"))
+
+    folded = blocks.select("u", "v", "block", F.aggregate("runs", line, step).alias("f"))
+    edges = folded.groupBy("u", "v").agg(F.array_sort(F.collect_list(F.struct("block", "f"))).alias("blocks"))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("at"))
+
+    def add(acc, x):
+        aged = acc["s"] * F.pow(keep, x["block"] * RUN_BLOCK - acc["at"])
+        return F.struct(F.least(x["f"]["c"], x["f"]["a"] * aged + x["f"]["b"]).alias("s"), x["f"]["at"].alias("at"))
 
-    last = F.aggregate("runs", start, step, lambda a: a["s"] * F.pow(F.lit(cfg.forgetting), F.lit(total or 0) - a["at"]))
-    return runs.select("u", "v", last.alias("strength"))
+    last = F.aggregate("blocks", start, add, lambda acc: acc["s"] * F.pow(keep, F.lit(total or 0) - acc["at"]))
+    return edges.select("u", "v", last.alias("strength"))
 
 
 def learned_edges(learned: DataFrame) -> DataFrame:

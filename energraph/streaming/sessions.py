@@ -21,14 +21,16 @@ def learned_stream(pairs: DataFrame, cfg: LearnedLayerConfig = LearnedLayerConfi
     """(u, v, run, strength) after each batch of used pairs (run, u, v, gain).
 
     The state of an edge is its strength and the run it was last touched in; ageing is applied for
-    all runs in between when the edge is touched again, so no run has to touch every edge.
+    all runs in between when the edge is touched again, so no run has to touch every edge. The gain
+    of a run that arrives late is aged to the edge's clock, which never runs back.
     """
     rate, keep, most = cfg.learning_rate, cfg.forgetting, cfg.max_strength
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         strength, at = state.get if state.exists else (0.0, 0)
         for run, gain in pd.concat(list(batches)).groupby("run").gain.sum().sort_index().items():
-            strength, at = min(most, strength * keep ** (int(run) - at) + rate * float(gain)), int(run)
+            now = max(int(run), at)
+            strength, at = min(most, strength * keep ** (now - at) + rate * float(gain) * keep ** (now - int(run))), now
         state.update((strength, at))
         yield pd.DataFrame({"u": [key[0]], "v": [key[1]], "run": [at], "strength": [strength]})
 
@@ -36,15 +38,24 @@ def learned_stream(pairs: DataFrame, cfg: LearnedLayerConfig = LearnedLayerConfi
 
 
 def warmth_stream(activations: DataFrame, ratio: float = 0.25) -> DataFrame:
-    """(qid, turn, nodes, energies) left warm by the latest turn of each conversation (qid, turn, node, energy)."""
+    """(qid, turn, nodes, energies) left warm by the latest turn of each conversation (qid, turn, node, energy).
+
+    A turn may arrive in several batches, each of which yields all of the turn so far; rows of an
+    earlier turn than the latest change nothing. A turn has at most max_nodes nodes, so the state
+    is bounded.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else -1
+        seen, nodes, energies = state.get if state.exists else (-1, [], [])
         pdf = pd.concat(list(batches))
         turn = int(pdf.turn.max())
         if turn >= seen:
-            state.update((turn,))
-            now = pdf[(pdf.turn == turn) & (pdf.energy > 0)].sort_values("node")
-            yield pd.DataFrame({"qid": [key[0]], "turn": [turn], "nodes": [now.node.tolist()], "energies": [(now.energy * ratio).tolist()]})
-
-    return activations.groupBy("qid").applyInPandasWithState(update, "qid string, turn long, nodes array<string>, energies array<double>", "turn long", "update", GroupStateTimeout.NoTimeout)
+            warm = dict(zip(nodes, energies)) if turn == seen else {}
+            for r in pdf[(pdf.turn == turn) & (pdf.energy > 0)].itertuples():
+                warm[r.node] = warm.get(r.node, 0.0) + r.energy * ratio
+            names = sorted(warm)
+            state.update((turn, names, [float(warm[n]) for n in names]))
+            yield pd.DataFrame({"qid": [key[0]], "turn": [turn], "nodes": [names], "energies": [[float(warm[n]) for n in names]]})
+
+    kind = "turn long, nodes array<string>, energies array<double>"
+    return activations.groupBy("qid").applyInPandasWithState(update, f"qid string, {kind}", kind, "update", GroupStateTimeout.NoTimeout)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,6 +61,29 @@ def measures(per_query: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -
     return each.select("id", "hops", "stop_reason", "s.system", "k", "recall", "novelty", objective(F.col("recall"), F.col("novelty"), cfg).alias("objective"), bridge.alias("bridge"))
 
 
+def measures_of_lists(lists: DataFrame, hits: DataFrame, sizes: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """The rows of ``measures`` for gold sets of any size: nothing but the ranked lists is joined.
+
+    lists: (id, system, node, rank), one system ``topk``; hits: the (id, node, bridge) of the lists'
+    nodes that are gold, ``bridge`` telling if they are bridge gold too; sizes: (id, hops,
+    stop_reason, n_gold, n_bridge). Nodes stand for their passages.
+    """
+    folded = lists.withColumn("node", passage_of(F.col("node"))).groupBy("id", "system", "node").agg(F.min("rank").alias("rank"))
+    place = F.row_number().over(Window.partitionBy("id", "system").orderBy("rank"))
+    heads = folded.withColumn("place", place).where(F.col("place") <= max(cfg.k_values))
+    gold = hits.select("id", passage_of(F.col("node")).alias("node"), "bridge").groupBy("id", "node").agg(F.max("bridge").alias("bridge"))
+    found = heads.join(gold, ["id", "node"])
+    known = found.where("system = 'topk'").select("id", "node", F.col("place").alias("known"))
+    each = found.join(known, ["id", "node"], "left").withColumn("k", F.explode(F.array(*map(F.lit, cfg.k_values)))).where("place <= k")
+    counts = each.groupBy("id", "system", "k").agg(F.count("*").alias("hit"), F.count_if(F.col("known").isNull() | (F.col("known") > F.col("k"))).alias("fresh"), F.count_if("bridge").alias("bridged"))
+    names = lists.select("system").distinct().withColumn("k", F.explode(F.array(*map(F.lit, cfg.k_values))))
+    checked = F.when(F.col("n_gold") > 0, F.col("n_gold")).otherwise(F.raise_error(F.lit("gold must not be empty")).cast("bigint"))
+    grid = sizes.join(F.broadcast(names))  # a few rows a question: the systems times the values of k
+    full = grid.join(counts, ["id", "system", "k"], "left").fillna(0, ["hit", "fresh", "bridged"]).withColumns({"recall": F.col("hit") / checked, "novelty": F.col("fresh") / checked})
+    bridge = F.when(F.col("n_bridge") > 0, F.col("bridged") / F.col("n_bridge"))
+    return full.select("id", "hops", "stop_reason", "system", "k", "recall", "novelty", objective(F.col("recall"), F.col("novelty"), cfg).alias("objective"), bridge.alias("bridge"))
+
+
 def report(scores: DataFrame) -> DataFrame:
     """(system, k, recall, novelty, objective, bridge): means over the questions."""
     return scores.groupBy("system", "k").agg(*[F.avg(c).alias(c) for c in ("recall", "novelty", "objective", "bridge")])
@@ -84,7 +109,7 @@ def bootstrap(a: np.ndarray, b: np.ndarray, iterations: int = 10_000, seed: int
     diff, rng = np.asarray(a, float) - np.asarray(b, float), np.random.default_rng(seed)
     means = np.concatenate([diff[rng.integers(0, len(diff), (min(1000, iterations - lo), len(diff)))].mean(axis=1) for lo in range(0, iterations, 1000)])
     low, high = np.percentile(means, [2.5, 97.5])
-    crossed = min((means <= 0).mean(), (means >= 0).mean())
+    crossed = (means <= 0).mean() if diff.mean() > 0 else (means >= 0).mean()
     return float(diff.mean()), float(low), float(high), float(min(1.0, 2 * crossed))
 
 
@@ -101,16 +126,23 @@ def bootstrap_report(scores: DataFrame, cfg: EvaluationConfig = EvaluationConfig
     return rivals.join(web, "id").groupBy("rival").applyInPandas(run, "rival string, mean double, low double, high double, p double")
 
 
+def paired_means(scores: DataFrame, cfg: EvaluationConfig = EvaluationConfig()) -> DataFrame:
+    """(rival, mean, n): how much better web is than each other system, and over how many questions."""
+    at = scores.where(F.col("k") == cfg.primary_k)
+    web = at.where("system = 'web'").select("id", F.col("objective").alias("web"))
+    return at.where("system <> 'web'").join(web, "id").groupBy(F.col("system").alias("rival")).agg(F.avg(F.col("web") - F.col("objective")).alias("mean"), F.count("*").alias("n"))
+
+
 def poisson_bootstrap(scores: DataFrame, cfg: EvaluationConfig = EvaluationConfig(), iterations: int = 200) -> DataFrame:
     """The same interval for any number of questions: seeded Poisson(1) weights, one aggregate."""
     at = scores.where(F.col("k") == cfg.primary_k)
     web = at.where("system = 'web'").select("id", F.col("objective").alias("web"))
     diff = at.where("system <> 'web'").join(web, "id").select("id", F.col("system").alias("rival"), (F.col("web") - F.col("objective")).alias("d"))
     u = (F.pmod(F.xxhash64("id", "i"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((u > s).cast("int") for s in steps[1:]) + (u > steps[0]).cast("int")
+    below = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(13)])  # no u lies beyond the last
+    weight = sum((u > float(s)).cast("int") for s in below)
     draws = diff.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("w", weight)
-    means = draws.groupBy("rival", "i").agg((F.sum(F.col("w") * F.col("d")) / F.sum("w")).alias("m"))
+    means = draws.groupBy("rival", "i").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.groupBy("rival").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
@@ -125,14 +157,14 @@ def rankings(ranked: DataFrame) -> DataFrame:
 
 
 def iterative_retrieve(queries: DataFrame, vectors: DataFrame, rewrite, cfg: IterativeBaselineConfig = IterativeBaselineConfig()) -> DataFrame:
-    """(qid, node, score, step, rank): search, rewrite the query from what was found, search again.
+    """(qid, node, score, step, rank): search, and up to max_steps times rewrite the query and search again.
 
     ``rewrite(open queries (qid, embedding), collected, step)`` returns (qid, embedding) of the
     queries that go on; all of them step together. Once max_collected ids are held, new ones are
     refused in order of arrival while known ones still improve.
     """
     asked, held = queries.select("qid", "embedding"), None
-    for step in range(cfg.max_steps):
+    for step in range(cfg.max_steps + 1):
         if asked.isEmpty():
             break
         hits = top_k(asked, vectors, cfg.per_step_k).select("qid", "node", "score", F.lit(step).alias("step"), F.col("rank").alias("place"))
@@ -141,7 +173,7 @@ def iterative_retrieve(queries: DataFrame, vectors: DataFrame, rewrite, cfg: Ite
         known = every.withColumn("nth", F.row_number().over(first)).withColumn("best", F.max("score").over(Window.partitionBy("qid", "node"))).where("nth = 1")
         order = F.row_number().over(Window.partitionBy("qid").orderBy("step", "place"))
         held = settle(known.withColumn("arrival", order).where(F.col("arrival") <= cfg.max_collected).select("qid", "node", F.col("best").alias("score"), "step", "place"))
-        if step + 1 < cfg.max_steps:
+        if step < cfg.max_steps:
             asked = settle(rewrite(asked, held, step))
     return held.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "step", "node"))).drop("place")
 

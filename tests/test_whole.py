@@ -87,7 +87,7 @@ def test_subjects_up_to_the_default_ratio(spark, tmp_path):
 def iterated(vecs, ask):
     """The steps of one query, one at a time: it goes on with the best id that its last step brought."""
     own, held = ask, {}
-    for step in range(4):
+    for step in range(5):  # the question's own search and four that follow
         score = {i: sum(x * y for x, y in zip(vecs[ask], v)) for i, v in enumerate(vecs)}
         for i in sorted(score, key=lambda i: (-score[i], i))[:5]:
             if i in held or len(held) < 20:
@@ -104,7 +104,7 @@ def test_iterative_takes_all_steps(spark, tmp_path):
     vecs = [[x / math.hypot(*v) for x in v] for v in vecs]
     spark.createDataFrame([(i, e, i % 3) for i, e in enumerate(vecs)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     want = {(q, i): (round(s, 6), at) for q in range(0, 80, 20) for i, (s, at) in iterated(vecs, q).items()}
-    assert max(at for _, at in want.values()) == 3
+    assert max(at for _, at in want.values()) >= 3
     got = {(int(r.qid[1:]), int(r.node[1:])): (round(r.score, 6), r.step) for r in waves.iterative_retrieval(spark, str(tmp_path)).collect()}
     assert got == want
     assert {r.system for r in waves.evaluation_report(spark, str(tmp_path)).collect()} == {"topk", "web", "iterative"}
@@ -115,4 +115,25 @@ def test_hops_beyond_the_unrolled_ones(spark):
     if not os.path.exists(d):
         pytest.skip("no test tables")
     assert waves.thermal_sessions(spark, d).agg({"hop": "max"}).first()[0] > 2
-    assert waves.THEMES.max_hop == PropagationConfig().max_hop
+    assert waves.THEMES.max_hop == waves.WAVE.max_hop == PropagationConfig().max_hop
+
+
+def test_conflicts_of_nodes_in_several_pairs(spark):
+    """Whatever the hop, each run's records follow from one another in the order of the pairs."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    rows = waves.conflict_web(spark, d).collect()
+    runs = {}
+    for r in rows:
+        runs.setdefault((r.qid, r.hop), []).append(r)
+    shared = 0
+    for found in runs.values():
+        level = {}
+        for r in sorted(found, key=lambda r: (r.node_a, r.node_b)):
+            for node, after in ((r.node_a, r.a_after), (r.node_b, r.b_after)):
+                if node in level:
+                    shared += 1
+                    assert after + r.absorbed_each == pytest.approx(level[node], abs=5e-6)
+                level[node] = after
+    assert rows and shared

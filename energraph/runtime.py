@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{base.rstrip('/')}/{_RUN}"
     if path not in _dirs:
         _dirs.add(path)
-        atexit.register(_remove, spark, path)
+        atexit.register(remove, spark, path)
     return path
 
 
@@ -81,7 +81,8 @@ def forget() -> None:
     _kept.clear()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
     try:
         where, fs = _at(spark, path)
         fs.delete(where, True)
@@ -100,7 +101,7 @@ def sweep(spark: SparkSession, collect: bool = False) -> int:
         except Exception:  # of a session that has ended
             continue
         if gone:
-            _remove(spark, path)
+            remove(spark, path)
         else:
             alive.append((path, ref))
     _tables[:] = alive
@@ -125,6 +126,18 @@ def read_settled(spark: SparkSession, path: str, schema) -> DataFrame:
     return out
 
 
+def read_files(path: str, columns: list[str]):
+    """The Parquet files below a path of the shared folder as an Arrow table, read by the task itself."""
+    import re
+
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    uri = re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", path))
+    system, where = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return pq.read_table(where, columns=columns, filesystem=system, partitioning=None)
+
+
 def settle(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the reader of it."""
     spark = session_of(df)
@@ -147,7 +160,7 @@ def settle_bucketed(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Calla
 
     def drop() -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        _remove(spark, path)
+        remove(spark, path)
 
     return spark.table(name), drop
 

@@ -2,15 +2,22 @@
 
 Both sides are reduced to letters and digits in lower case. An item leaks into a document if they
 share a run of ``run`` such characters, and then the document holds every ``q``-character shingle
-of some ``run``-wide window of the item. So it is enough to look for the rarest shingle of each
-window: a first pass counts in how many documents each item shingle occurs (over all documents),
-the windows pick their rarest shingles as prefix tokens, and a second pass joins the documents'
-shingles with them. A hit is dropped at once when the texts left and right of it are too short for
-a run, and else verified character by character over the item-sized window around it.
-
-Items are the stated query set: ``BLOCK_SHINGLES`` of their shingles are broadcast at a time
-(about 40 MB at most), and larger sets are handled in blocks. Documents of any length are cut into
-overlapping pieces of ``PIECE`` characters, of which a task holds ``STEP`` characters at once.
+of some ``run``-wide window of the item. So it is enough to look for one shingle of each window:
+
+1. A quarter of the item shingles, chosen by their hash, are the candidates; a window without any
+   gives its smallest hash. A first pass over all documents counts in how many pieces of text each
+   candidate occurs, and each window takes its rarest candidate as prefix token.
+2. A second pass finds the prefix tokens in the documents. Each hit leaves with the characters
+   around it, as many as any run through it can need, and is joined with the places where items
+   hold the token. A pair goes on only if the text on both sides is long enough for a run, and is
+   then verified character by character.
+
+Only hashes are sent to the tasks: of the candidates in the first pass and of the prefix tokens,
+about a twentieth of the item characters, in the second; the join takes the items' texts, by
+broadcast while they are few. So a set of items of up to ``BLOCK_CHARS`` characters costs the same
+two passes and the same number of jobs, at 3 bytes a character and task (400 MB at most); only a
+larger set is handled in blocks of that size. Documents of any length are cut into overlapping
+pieces of ``PIECE`` characters, of which a task holds ``STEP`` characters at once.
 
 Defined results: null and blank texts share nothing; items with less than ``run`` characters
 cannot leak; equal rows give one result row; empty tables give an empty result. Other columns are
@@ -20,7 +27,6 @@ not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from energraph.functions.text import plain
-from energraph.runtime import session_of, spread
+from energraph.runtime import session_of, settle, spread
 
-BLOCK_SHINGLES, PIECE, STEP, BITMAP_BITS = 1 << 20, 1 << 20, 1 << 21, 24
+BLOCK_CHARS, PIECE, STEP = 1 << 27, 1 << 20, 1 << 21
+#: Bits of the filter per candidate, the candidates' share as a mask on the hash, places that are broadcast at most (380 bytes each).
+FILTER_BITS, CANDIDATE_MASK, BROADCAST_PLACES, COUNTED = 16, 3, 100_000, 1 << 22
 _BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
@@ -66,12 +74,19 @@ class Tokens:
 
     def __init__(self, hashes: np.ndarray) -> None:
         self.hashes = hashes
-        self.bitmap = np.zeros(1 << BITMAP_BITS, bool)
-        self.bitmap[(hashes & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)] = True
+        self.bits = max(20, int(np.ceil(np.log2(max(1, len(hashes)) * FILTER_BITS))))
+        self.bitmap = np.zeros(1 << (self.bits - 3), np.uint8)
+        byte, bit = self._place(hashes)
+        np.bitwise_or.at(self.bitmap, byte, bit)
+
+    def _place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = h & np.uint64((1 << self.bits) - 1)
+        return (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``h`` that hold a token, and the number of that token."""
-        at = np.flatnonzero(self.bitmap[(h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)])
+        byte, bit = self._place(h)
+        at = np.flatnonzero(self.bitmap[byte] & bit)
         if not len(at) or not len(self.hashes):
             return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
@@ -79,35 +94,44 @@ class Tokens:
         return at[same], k[same]
 
 
-class Block:
-    """Items as one array of characters, and every shingle of them."""
-
-    def __init__(self, items: list[tuple[int, str]], run: int, q: int) -> None:
-        self.ids = np.array([i for i, _ in items], np.int64)
-        parts = [code_points(t) for _, t in items]
-        self.ends = np.cumsum([len(p) for p in parts])
-        self.begins = np.append(0, self.ends[:-1])
-        self.chars = np.concatenate(parts)
-        self.run, self.q = run, q
-        whole = shingle_hashes(self.chars, q)
-        self.places = np.concatenate([np.arange(b, e - q + 1) for b, e in zip(self.begins, self.ends)])
-        self.hash_at = whole
-        self.distinct = np.unique(whole[self.places])
-
-    def prefixes(self, df: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Token hashes, the offsets of their places, and the places: the rarest shingle of each window."""
-        span = self.run - self.q + 1
-        rarity = np.full(len(self.hash_at), np.iinfo(np.int64).max)
-        rarity[self.places] = df[np.searchsorted(self.distinct, self.hash_at[self.places])]
-        taken = []
-        for b, e in zip(self.begins, self.ends):
-            if e - b >= self.run:
-                windows = np.lib.stride_tricks.sliding_window_view(rarity[b : e - self.q + 1], span)
-                taken.append(np.unique(b + np.arange(len(windows)) + windows.argmin(axis=1)))
-        places = np.concatenate(taken) if taken else np.zeros(0, np.int64)
-        order = np.argsort(self.hash_at[places], kind="stable")
-        hashes, first = np.unique(self.hash_at[places][order], return_index=True)
-        return hashes, np.append(first, len(places)), places[order]
+def candidates(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Which shingles of an item are candidates: at least one in each ``span`` in a row."""
+    chosen = (hashes >> np.uint64(11)) & np.uint64(CANDIDATE_MASK) == 0
+    if len(hashes) < span:
+        return chosen
+    some = np.cumsum(np.append(0, chosen))
+    for w in np.flatnonzero(some[span:] == some[:-span]):  # few: a window without any
+        chosen[w + hashes[w : w + span].argmin()] = True
+    return chosen
+
+
+def prefixes(hashes: np.ndarray, rarity: np.ndarray, span: int) -> np.ndarray:
+    """Places of the rarest candidate of each window, ties to the first."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.where(candidates(hashes, span), rarity, np.iinfo(np.int64).max), span)
+    return np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+
+
+def surroundings(chars: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, run: int, q: int) -> np.ndarray:
+    """The run - q characters before each place and the run from it on; 0 beyond its text."""
+    place = at[:, None] + np.arange(q - run, run)
+    inside = (place >= low[:, None]) & (place < high[:, None])
+    return np.where(inside, chars[np.clip(place, 0, len(chars) - 1)], 0).astype(np.uint32)
+
+
+def common_run(a: np.ndarray, b: np.ndarray, run: int, q: int) -> np.ndarray:
+    """Length of the common run through the place, 0 where not even the shingle agrees."""
+    same = (a == b) & (a != 0)
+    left, right = same[:, : run - q][:, ::-1], same[:, run - q :]
+    before = np.where(left.all(axis=1), run - q, left.argmin(axis=1)) if run > q else np.zeros(len(a), np.int64)
+    after = np.where(right.all(axis=1), run, right.argmin(axis=1))
+    return np.where(after >= q, before + after, 0)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    width = rows.shape[1] * rows.itemsize
+    ends = pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -129,86 +153,102 @@ def _pieces(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[tuple[list,
         yield ids, np.cumsum([len(p) for p in parts]), np.concatenate(parts)
 
 
-def _run_through(doc: np.ndarray, item: np.ndarray, p: np.ndarray, s: np.ndarray, p_low: np.ndarray, p_high: np.ndarray, s_low: np.ndarray, s_high: np.ndarray, run: int) -> np.ndarray:
-    """Length, up to 2 * run, of the common run around document place p and item place s."""
-    total = np.zeros(len(p), np.int64)
-    for step in (np.arange(run), -1 - np.arange(run)):
-        a, b = p[:, None] + step, s[:, None] + step
-        inside = (a >= p_low[:, None]) & (a < p_high[:, None]) & (b >= s_low[:, None]) & (b < s_high[:, None])
-        same = inside & (doc[np.clip(a, 0, len(doc) - 1)] == item[np.clip(b, 0, len(item) - 1)])
-        total += np.where(same.all(axis=1), run, same.argmin(axis=1))
-    return total
+def _found(tokens: Tokens, ends: np.ndarray, chars: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, token, piece) of the tokens that lie within one piece."""
+    at, k = tokens.find(shingle_hashes(chars, q))
+    piece = np.searchsorted(ends, at, "right")
+    keep = at + q <= ends[np.minimum(piece, len(ends) - 1)]
+    return at[keep], k[keep], piece[keep]
+
+
+def _block_leaks(docs: DataFrame, items: DataFrame, run: int, q: int) -> DataFrame:
+    sc, span = session_of(docs).sparkContext, run - q + 1
 
+    def offered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [h[candidates(h, span)] for h in (shingle_hashes(code_points(t), q) for t in b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)).view(np.int64))], names=["token"])
 
-def _block_leaks(docs: DataFrame, block: Block) -> DataFrame:
-    sc = session_of(docs).sparkContext
-    shared = sc.broadcast(vars(block))  # arrays only: workers need no copy of the package
-    run, q = block.run, block.q
+    hashes = items.mapInArrow(offered, "token bigint").distinct().toArrow().column(0).to_numpy()  # at most a quarter of BLOCK_CHARS
+    hashes = np.sort(hashes.view(np.uint64))
+    offers = sc.broadcast(hashes)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(shared.value["distinct"])
-        df = np.zeros(len(tokens.hashes), np.int64)
+        tokens, held, size = Tokens(offers.value), [], 0
+
+        def summed() -> pa.RecordBatch:
+            token, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], names=["token", "df"])
+
         for _, ends, chars in _pieces(batches, run):
-            at, k = tokens.find(shingle_hashes(chars, q))
-            doc = np.searchsorted(ends, at, "right")
-            keep = at + q <= ends[np.minimum(doc, len(ends) - 1)]
-            pairs = np.unique(doc[keep] * np.int64(len(df)) + k[keep])
-            np.add.at(df, pairs % max(1, len(df)), 1)
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(df[seen], pa.int64())], names=["token", "df"])
-
-    df = np.zeros(len(block.distinct), np.int64)
-    for token, n in docs.mapInArrow(count, "token bigint, df bigint").groupBy("token").agg(F.sum("df")).toLocalIterator():
-        df[token] = n
-    prefix = sc.broadcast(block.prefixes(df))
+            _, k, piece = _found(tokens, ends, chars, q)
+            n = max(1, len(tokens.hashes))
+            held.append(np.unique(piece * np.int64(n) + k) % n)
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield summed()
+                held, size = [], 0
+        yield summed()
+
+    df = np.zeros(len(hashes), np.int64)
+    seen = docs.mapInArrow(count, "token bigint, df bigint").groupBy("token").agg(F.sum("df").alias("df")).toArrow()  # a row per candidate
+    df[seen.column("token").to_numpy()] = seen.column("df").to_numpy()
+    counted = sc.broadcast(np.minimum(df, (1 << 32) - 1).astype(np.uint32))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rare = offers.value, counted.value
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                chars = code_points(text)
+                h = shingle_hashes(chars, q)
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                at = prefixes(h, rare[k].astype(np.int64), span)
+                around = surroundings(chars, at, np.zeros(len(at), np.int64), np.full(len(at), len(chars)), run, q)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), item)), _binary(around)], names=["token", "item_id", "said"])
+
+    places = settle(items.mapInArrow(choose, "token bigint, item_id bigint, said binary"))
+    prefix = sc.broadcast(np.sort(places.select("token").distinct().toArrow().column(0).to_numpy().view(np.uint64)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = SimpleNamespace(**shared.value)
-        hashes, first, places = prefix.value
-        tokens = Tokens(hashes)
+        tokens = Tokens(prefix.value)
         for ids, ends, chars in _pieces(batches, run):
-            at, k = tokens.find(shingle_hashes(chars, q))
-            n = first[k + 1] - first[k]
-            found: set[tuple[int, int]] = set()
-            for lo in range(0, len(at), 1 << 12):  # a token may stand at several places of several items
-                part = slice(lo, lo + (1 << 12))
-                width = n[part]
-                p = np.repeat(at[part], width)
-                s = places[np.repeat(first[k[part]], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
-                for cut in range(0, len(p), 1 << 15):
-                    pp, ss = p[cut : cut + (1 << 15)], s[cut : cut + (1 << 15)]
-                    doc = np.searchsorted(ends, pp, "right")
-                    item = np.searchsorted(own.ends, ss, "right")
-                    p_high, s_low, s_high = ends[doc], own.begins[item], own.ends[item]
-                    p_low = np.where(doc > 0, ends[doc - 1], 0)
-                    room = np.minimum(pp - p_low, ss - s_low) + np.minimum(p_high - pp, s_high - ss) >= run
-                    pp, ss, doc, item, p_low, p_high, s_low, s_high = (x[room] for x in (pp, ss, doc, item, p_low, p_high, s_low, s_high))
-                    if len(pp):
-                        good = _run_through(chars, own.chars, pp, ss, p_low, p_high, s_low, s_high, run) >= run
-                        found.update(zip(doc[good].tolist(), item[good].tolist()))
-            if found:
-                pairs = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[d] for d, _ in pairs], pa.int64()), pa.array(own.ids[[i for _, i in pairs]])], names=["doc_id", "item_id"])
-
-    return docs.mapInArrow(match, "doc_id bigint, item_id bigint")
+            at, k, piece = _found(tokens, ends, chars, q)
+            begins, names = np.append(0, ends[:-1]), np.array(ids, np.int64)
+            for lo in range(0, len(at), 1 << 13):
+                cut = slice(lo, lo + (1 << 13))
+                p = piece[cut]
+                around = surroundings(chars, at[cut], begins[p], ends[p], run, q)
+                room = (around != 0).sum(axis=1) >= run
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.hashes[k[cut]][room].view(np.int64)), pa.array(names[p][room]), _binary(around[room])], names=["token", "doc_id", "seen"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = 2 * run - q
+        for b in batches:
+            if b.num_rows:
+                said, seen = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(-1, width) for c in ("said", "seen"))
+                good = pa.array(common_run(said, seen, run, q) >= run)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(good) for c in ("doc_id", "item_id")], names=["doc_id", "item_id"])
+
+    few = places.count() <= BROADCAST_PLACES
+    hits = docs.mapInArrow(match, "token bigint, doc_id bigint, seen binary")
+    pairs = hits.join(F.broadcast(places) if few else places, "token").select("doc_id", "item_id", "said", "seen")
+    return pairs.mapInArrow(verify, "doc_id bigint, item_id bigint")
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", run: int = 60, q: int = 24) -> DataFrame:
     """Distinct (doc_id, item_id) that share a run of at least ``run`` letters and digits."""
     if not 0 < q <= run:
         raise ValueError("q must be in (0, run]")
-    spark = session_of(docs)
     long_enough = F.char_length("words") >= run
     corpus = spread(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))).select("id", plain(F.col("text")).alias("words")).where(F.col("id").isNotNull() & long_enough)
-    wanted = items.select(F.col(item_id).cast("bigint").alias("id"), plain(F.col(text)).alias("words")).where(F.col("id").isNotNull() & long_enough).distinct()
-    out = spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    held: list[tuple[int, str]] = []
-    size = 0
-    for i, words in wanted.toLocalIterator():
-        held.append((i, words))
-        size += len(words)
-        if size >= BLOCK_SHINGLES:
-            out, held, size = out.unionByName(_block_leaks(corpus, Block(held, run, q))), [], 0
-    if held:
-        out = out.unionByName(_block_leaks(corpus, Block(held, run, q)))
+    wanted = settle(items.select(F.col(item_id).cast("bigint").alias("id"), plain(F.col(text)).alias("words")).where(F.col("id").isNotNull() & long_enough).distinct())
+    chars = wanted.agg(F.sum(F.char_length("words"))).first()[0] or 0
+    if not chars:
+        return session_of(docs).createDataFrame([], "doc_id bigint, item_id bigint")
+    blocks = -(-chars // BLOCK_CHARS)
+    out = None
+    for block in range(blocks):
+        part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id", "words"), F.lit(blocks)) == block)
+        found = _block_leaks(corpus, part, run, q)
+        out = found if out is None else out.unionByName(found)
     return out.distinct()

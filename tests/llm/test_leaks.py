@@ -1,5 +1,6 @@
 import random
 import re
+import uuid
 
 from energraph.llm import leaks as lk
 from energraph.llm.leaks import code_points, leaks, shingle_hashes
@@ -54,7 +55,7 @@ def test_blocks_pieces_and_empty(spark, monkeypatch):
     items = [(i, noise(rng, 30)) for i in range(6)]
     docs = [(1, noise(rng, 400) + items[3][1] + noise(rng, 400)), (2, items[0][1] + items[5][1]), (3, noise(rng, 90))]
     want = brute(docs, items)
-    monkeypatch.setattr(lk, "BLOCK_SHINGLES", 200)
+    monkeypatch.setattr(lk, "BLOCK_CHARS", 200)
     monkeypatch.setattr(lk, "PIECE", 300)
     monkeypatch.setattr(lk, "STEP", 500)
     assert run(spark, docs, items) == want == {(1, 3), (2, 0), (2, 5)}
@@ -67,3 +68,40 @@ def test_hashes_are_those_of_the_shingles():
         h = shingle_hashes(text, q)
         assert len(h) == 80 - q + 1 and len(set(h.tolist())) == 10 and (h[:-10] == h[10:]).all()
     assert len(shingle_hashes(text[:5], 6)) == 0
+
+
+def jobs(spark, run_it):
+    """Spark's jobs while a function runs."""
+    tracker, group = spark.sparkContext.statusTracker(), f"leaks {uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(group, group)
+    run_it()
+    n = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    return n
+
+
+def test_as_many_jobs_for_many_items_as_for_few(spark):
+    rng = random.Random(3)
+    items = [(i, noise(rng, 40)) for i in range(600)]
+    docs = [(d, noise(rng, 20) + items[d * 5][1]) for d in range(60)]
+    few, many = (jobs(spark, lambda own=own: run(spark, docs, own)) for own in (items[:20], items))
+    assert few == many
+
+
+def test_items_that_share_all_their_text(spark, monkeypatch):
+    rng = random.Random(4)
+    same = noise(rng, 30)
+    items = [(i, same) for i in range(40)] + [(99, same + "tail")]
+    docs = [(d, noise(rng, 3) + same) for d in range(50)]
+    want = {(d, i) for d, _ in docs for i, _ in items}
+    assert run(spark, docs, items) == want
+    monkeypatch.setattr(lk, "BROADCAST_PLACES", 0)
+    assert run(spark, docs, items) == want
+
+
+def test_each_window_has_a_candidate():
+    import numpy as np
+
+    h = np.random.default_rng(1).permutation(399).astype(np.uint64) * np.uint64(4 << 11) + np.uint64(1 << 11)  # none by its hash
+    chosen = lk.candidates(h, 37)
+    assert all(chosen[w : w + 37].any() for w in range(len(h) - 36)) and chosen.sum() < 30

@@ -6,9 +6,11 @@ merging two partitions adds to "again" what both have in "once", so no repeat is
 rows that hit the merged "again" filter, the possible repeats, are shuffled and grouped exactly by
 the 256-bit digest; all others are single records and never move. Texts are not shuffled at all.
 
-Filters are made of 1 MiB segments, each for a share of the hash space, ``BITS_PER_ROW`` bits a
-row. ``PASS_SEGMENTS`` segments are broadcast at a time, which bounds a broadcast at 32 MiB; when
-more rows need more segments, the narrow rows are written by share and handled share by share.
+Filters are made of 1 MiB segments, each for a part of the hash space, ``BITS_PER_ROW`` bits a
+row. The narrow rows are written by share, and ``SHARE_SEGMENTS`` segments belong to a share. The
+merged filters are files in the shared folder, of which a task reads those of the share whose
+rows it has at hand, 64 MiB at most; so neither the number of jobs nor what a task or the driver
+holds depends on the number of rows.
 
 Groups that hold over a thousandth of the rows, of which there are at most a thousand, get their
 record by a broadcast join, so that no task receives the whole of such a group.
@@ -30,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from energraph.functions.text import plain
-from energraph.runtime import session_of, settle, shuffle_partitions
+from energraph.runtime import new_path, read_files, remove, session_of, settle, shuffle_partitions
 
-SEGMENT_BITS, BITS_PER_ROW, HASHES, PASS_SEGMENTS = 23, 16, 4, 32
+SEGMENT_BITS, BITS_PER_ROW, HASHES, SHARE_SEGMENTS = 23, 16, 4, 64
 
 
 def _numbers_as_strings(facts: Column) -> Column:
@@ -113,70 +115,105 @@ def merge(once: np.ndarray, again: np.ndarray, other_once: np.ndarray, other_aga
     once |= other_once
 
 
-def repeats_filter(rows: DataFrame, segments: int) -> dict[int, np.ndarray]:
-    """The merged "again" segments of the given rows."""
+_PAIRS = pa.schema([("share", pa.int32()), ("segment", pa.int64()), ("once", pa.binary()), ("again", pa.binary())])
+
+
+def _packed(bits: np.ndarray) -> bytes:
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8)
+
+
+def repeats_filter(rows: DataFrame, segments: int) -> DataFrame:
+    """(share, segment, again): the merged "again" segments of rows (share, h)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = Filter(), Filter()
+        at, once, again = None, Filter(), Filter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for s, bits in once.bits.items():
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((at, s, _packed(bits), _packed(again.segment(s))), _PAIRS)], schema=_PAIRS)
+
         for b in batches:
-            h = b.column(0).to_numpy()
-            seg = segment_of(h, segments)
-            for s in np.unique(seg):
-                observe(once, again, int(s), h[seg == s])
-        for s, bits in once.bits.items():
-            pair = [zlib.compress(x.tobytes(), 1) for x in (bits, again.segment(s))]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([pair[0]], pa.binary()), pa.array([pair[1]], pa.binary())], names=["segment", "once", "again"])
+            shares, hashes = (c.to_numpy() for c in b.columns)
+            for share in np.unique(shares).tolist():
+                if share != at:  # rows of a share come together, file by file
+                    yield from done()
+                    at, once, again = share, Filter(), Filter()
+                h = hashes[shares == share]
+                seg = segment_of(h, segments)
+                for s in np.unique(seg):
+                    observe(once, again, int(s), h[seg == s])
+        yield from done()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, once, again = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if at is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int64()), pa.array([_packed(again)], pa.binary())], names=["share", "segment", "again"])
+
         for b in batches:
             for row in b.to_pylist():
-                pair = [np.frombuffer(zlib.decompress(row[k]), np.uint8) for k in ("once", "again")]
-                if row["segment"] != at:
-                    if at is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())], names=["segment", "again"])
-                    at, once, again = row["segment"], pair[0].copy(), pair[1].copy()
+                pair = [_unpacked(row[k]) for k in ("once", "again")]
+                if (row["share"], row["segment"]) != at:
+                    yield from done()
+                    at, once, again = (row["share"], row["segment"]), pair[0].copy(), pair[1].copy()
                 else:
                     merge(once, again, *pair)
-        if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())], names=["segment", "again"])
+        yield from done()
 
-    built = rows.select("h").mapInArrow(build, "segment bigint, once binary, again binary")
-    merged = built.repartition(shuffle_partitions(session_of(rows)), "segment").sortWithinPartitions("segment").mapInArrow(fold, "segment bigint, again binary")
-    return {r[0]: np.frombuffer(zlib.decompress(r[1]), np.uint8) for r in merged.toLocalIterator()}
+    built = rows.select("share", "h").mapInArrow(build, "share int, segment bigint, once binary, again binary")
+    return built.repartition(shuffle_partitions(session_of(rows)), "segment").sortWithinPartitions("share", "segment").mapInArrow(fold, "share int, segment bigint, again binary")
 
 
 def split_repeats(rows: DataFrame, segments: int) -> DataFrame:
-    """(key, digest, maybe): ``maybe`` is true where the hash may occur more than once."""
-    again = session_of(rows).sparkContext.broadcast(repeats_filter(rows, segments))
+    """(key, digest, maybe) of rows (share, key, digest, h): ``maybe`` is true where the hash may occur more than once."""
+    path = new_path(session_of(rows))
+    repeats_filter(rows, segments).write.partitionBy("share").parquet(path)
+
+    def load(share: int) -> Filter:
+        table = read_files(f"{path}/share={share}", ["segment", "again"])
+        return Filter(dict(zip(table.column("segment").to_pylist(), map(_unpacked, table.column("again").to_pylist()))))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Filter(again.value)
+        at, held = None, Filter()
         for b in batches:
-            h = b.column("h").to_numpy()
-            seg = segment_of(h, segments)
+            shares, h = (b.column(c).to_numpy() for c in ("share", "h"))
             hit = np.zeros(len(h), bool)
-            for s in np.unique(seg):
-                hit[seg == s] = held.has(int(s), h[seg == s])
+            for share in np.unique(shares).tolist():
+                if share != at:
+                    at, held = share, load(share)
+                mine = shares == share
+                seg = segment_of(h, segments)
+                for s in np.unique(seg[mine]):
+                    own = mine & (seg == s)
+                    hit[own] = held.has(int(s), h[own])
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array(hit)], names=["key", "digest", "maybe"])
 
     key = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "digest", "h").mapInArrow(probe, f"key {key}, digest binary, maybe boolean")
+    split = settle(rows.select("share", "key", "digest", "h").mapInArrow(probe, f"key {key}, digest binary, maybe boolean"))
+    remove(session_of(rows), path)
+    return split
 
 
-def copies(df: DataFrame, key: str, title: str, text: str, facts: str) -> DataFrame:
-    """(keep, key, copies): one row per record with the smallest key of its set of copies and the set's size."""
+def segments_for(n: int) -> int:
+    """A power of two that gives each of n rows its bits."""
     segments = 1
-    while segments << SEGMENT_BITS < df.count() * BITS_PER_ROW:
+    while segments << SEGMENT_BITS < n * BITS_PER_ROW:
         segments *= 2
-    passes = max(1, segments // PASS_SEGMENTS)
-    share = F.pmod(F.shiftrightunsigned("h", 46), F.lit(passes)).cast("int")
+    return segments
+
+
+def copies(df: DataFrame, key: str, title: str, text: str, facts: str) -> DataFrame:
+    """(keep, key, copies): one row per record with the smallest key of its set of copies and the set's size."""
+    segments = segments_for(df.count())
+    shares = max(1, segments // SHARE_SEGMENTS)
+    share = F.pmod(F.shiftrightunsigned("h", 46), F.lit(shares)).cast("int")
     rows = settle(narrow_rows(df, key, title, text, facts).withColumn("share", share), partition_by="share")
-    own = None
-    for p in range(passes):
-        part = split_repeats(rows.where(F.col("share") == p), segments)
-        own = part if own is None else own.unionByName(part)
-    split = settle(own)
+    split = split_repeats(rows, segments)
     members = settle(split.where("maybe").select("digest", "key").distinct())
     groups = members.groupBy("digest").agg(F.min("key").alias("keep"), F.count("*").alias("copies"))
     hot = settle(groups.where(F.col("copies") > F.lit(members.count() // 1000 + 1)))

@@ -70,6 +70,21 @@ def test_many_segments_give_the_same(spark, monkeypatch):
     rows = [(f"c{i:04d}", "t", f"text {i % 700}", None) for i in range(1000)]
     want = run(spark, rows)
     monkeypatch.setattr(cp, "SEGMENT_BITS", 10)
-    monkeypatch.setattr(cp, "PASS_SEGMENTS", 4)
+    monkeypatch.setattr(cp, "SHARE_SEGMENTS", 4)
     assert run(spark, rows) == want and sum(n > 1 for _, n in want.values()) == 600
-    assert repeats_filter(spark.range(0).selectExpr("id AS h"), 4) == {}
+    assert repeats_filter(spark.range(0).selectExpr("0 AS share", "id AS h"), 4).count() == 0
+
+
+def test_as_many_jobs_for_many_segments_as_for_one(spark, monkeypatch):
+    rows = [(f"c{i:04d}", "t", f"text {i % 700}", None) for i in range(1000)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA).repartition(3)
+    counts = []
+    for bits in (23, 10):
+        monkeypatch.setattr(cp, "SEGMENT_BITS", bits)
+        monkeypatch.setattr(cp, "SHARE_SEGMENTS", 4)
+        group = f"copies {bits}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert copies(df, "chunk_id", "title", "text", "facts").where("copies > 1").count() == 600
+        counts.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        spark.sparkContext.setJobGroup("rest", "rest")
+    assert cp.segments_for(1000) == 16 and counts[0] == counts[1]

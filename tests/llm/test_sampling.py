@@ -1,4 +1,4 @@
-from energraph.llm.sampling import sequence_numbers, stable_sample
+from energraph.llm.sampling import sampled, sequence_numbers, stable_sample
 
 SCHEMA = "id string, batch int, seq int, block int, part int"
 
@@ -36,3 +36,22 @@ def test_numbers_and_blocks(spark):
     assert all(n == 3 for b, n in per_block.items() if b < 10)
     assert sample(spark, []) == {} and len(sample(spark, data, block_size=5, per_block=5)) == 106
     assert sample(spark, data, seed=1) != sample(spark, data, seed=2)
+
+
+def test_stored_numbers_keep_a_late_row_of_an_old_batch_from_moving_others(spark):
+    data = rows(300)
+
+    def table(rows):
+        return spark.createDataFrame([(i, b, 0, 0, 0) for i, b in rows], SCHEMA)
+
+    empty = spark.createDataFrame([], "key string, batch long, seq long")
+    first = sequence_numbers(table(data[:200]), "id", "batch", empty)
+    assert {r.key: r.seq for r in first.collect()} == {r.key: r.seq for r in sequence_numbers(table(data[:200]), "id", "batch").collect()}
+    first = spark.createDataFrame(first.collect(), first.schema)
+    late = [("late1", 1), ("late0", 1), *data[200:], *data[:7]]
+    second = sequence_numbers(table(data[:200] + late), "id", "batch", first)
+    old, new = ({r.key: (r.batch, r.seq) for r in t.collect()} for t in (first, second))
+    assert old.items() <= new.items() and sorted(s for _, s in new.values()) == list(range(302))
+    assert new["late0"][1] == 200 + sorted((b, i) for i, b in {("late1", 1), ("late0", 1), *data[200:]}).index((1, "late0"))
+    again = {r.key for r in sampled(first).collect()}
+    assert again and again <= {r.key for r in stable_sample(table(late), "id", "batch", stored=first).collect()}

@@ -10,13 +10,20 @@
    the list of the nearest one, and a boundary vector also in those nearly as near (unless a
    list already taken is nearer to the new list than the vector is). As a query it reads the
    lists whose distance is within a ratio of the nearest one's.
-4. A list with more rows than ``BLOCK_ROWS`` is handled in blocks, each block of queries against
+4. So many vectors that the lists would hold more than ``SPLIT_ROWS`` rows get a second level:
+   every such list is split by centroids fitted to a sample of its own rows, of at most
+   ``FIT_SAMPLE``, in a task of its own, and its readers choose among the parts as before. The
+   distance to beat is that of the nearest centroid of either level. So the rows that a vector is
+   compared with do not grow with the collection, and no centroid of the second level is ever
+   broadcast or sent to the driver.
+5. A list with more rows than ``BLOCK_ROWS`` is handled in blocks, each block of queries against
    each block of stored rows, so no task holds more than two blocks and no row is left out.
-5. Candidates are chosen by single-precision products, with a margin, and ranked by exact cosines
+6. Candidates are chosen by single-precision products, with a margin, and ranked by exact cosines
    rounded to 9 decimals; equal ones go by smaller id.
 
-The index is approximate: a true neighbour is missed when none of its lists is read. The tests
-measure the recall against brute force.
+The index is approximate: a true neighbour is missed when none of its lists is read. A search
+keeps the ``BEAM`` best centroids, and a vector reads at most ``READ_MOST`` lists of each level.
+The tests measure the recall against brute force, at one and at two levels.
 
 Defined results: null and all-zero vectors, those with null, NaN or infinite numbers and those of
 another length than most are in no pair; a row without an id is none; an id that comes repeatedly
@@ -35,7 +42,7 @@ from pyspark.sql import functions as F
 
 from energraph.runtime import session_of, settle
 
-FIT_SAMPLE, LIST_ROWS, MAX_LISTS, BLOCK_ROWS = 1 << 16, 256, 1 << 14, 4096
+FIT_SAMPLE, LIST_ROWS, MAX_LISTS, BLOCK_ROWS, SPLIT_ROWS, SLOT_ROWS = 1 << 16, 256, 1 << 14, 4096, 1024, 1 << 15
 LINKS, BEAM, READ_MOST, STORE_MOST, READ_RATIO, STORE_RATIO = 24, 48, 24, 4, 1.22, 1.06
 
 
@@ -119,15 +126,19 @@ def graph_search(queries: np.ndarray, centroids: np.ndarray, graph: np.ndarray,
     return ids[rows, order], sims[rows, order]
 
 
-def choose_lists(ids: np.ndarray, sims: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Masks over the found centroids: lists to read, and lists to be stored in."""
+def choose_lists(ids: np.ndarray, sims: np.ndarray, centroids: np.ndarray, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Masks over the found centroids: lists to read, and lists to be stored in.
+
+    ``bound`` is a distance known from elsewhere, beyond whose ratio nothing is read.
+    """
     far = np.sqrt(np.maximum(0, 2 - 2 * sims.astype(np.float64)))
     place = np.arange(ids.shape[1])
-    read = (ids >= 0) & (far <= READ_RATIO * far[:, :1] + 1e-6) & (place < READ_MOST)
+    best = far[:, :1] if bound is None else np.minimum(far[:, :1], bound[:, None])
+    read = (ids >= 0) & (far <= READ_RATIO * best + 1e-6) & (place < READ_MOST)
     stored = np.zeros_like(read)
     stored[:, 0] = True
     for j in range(1, min(ids.shape[1], 2 * STORE_MOST)):
-        want = read[:, j] & (far[:, j] <= STORE_RATIO * far[:, 0] + 1e-6) & (stored.sum(axis=1) < STORE_MOST)
+        want = (ids[:, j] >= 0) & (far[:, j] <= STORE_RATIO * far[:, 0] + 1e-6) & (stored.sum(axis=1) < STORE_MOST)
         for i in range(j):  # a list nearer to one that is taken than to the vector adds little
             rows = np.flatnonzero(want & stored[:, i])
             if len(rows):
@@ -160,29 +171,79 @@ def _compare(dim: int, k: int, floor: float):
         x = _matrix(t.column("vector").chunk(0), dim).astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         base, q = np.flatnonzero(stored), np.flatnonzero(asks)
-        first, ids = t.column("first_id").to_pylist(), t.column("ids").to_pylist()
+        lists = t.column("ids").chunk(0)
+        names, starts = np.array(lists.flatten().to_pylist(), np.str_), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         low = x.astype(np.float32)
-        out: list[tuple[str, str, float]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo in range(0, len(q) if len(base) else 0, 512):
             part = q[lo : lo + 512]
             near = low[part] @ low[base].T
             m = min(k + 2, len(base))
             cut = np.maximum(-np.partition(-near, m - 1, axis=1)[:, m - 1] - 4e-6, floor - 4e-6)
             r, c = np.nonzero(near >= cut[:, None])
-            for cut_at in range(0, len(r), 1 << 16):
-                rr, cc = part[r[cut_at : cut_at + (1 << 16)]], base[c[cut_at : cut_at + (1 << 16)]]
-                exact = np.round(np.einsum("bd,bd->b", x[rr], x[cc]), 9)
-                keep = exact > floor
-                out += [(first[a], i, s) for a, b, s in zip(rr[keep].tolist(), cc[keep].tolist(), exact[keep].tolist()) for i in ids[b]]
-        best: dict[str, list[tuple[float, str]]] = {}
-        for a, i, s in out:
-            best.setdefault(a, []).append((-s, i))
-        rows = [(a, i, -s) for a, found in best.items() for s, i in sorted(found)[: k + 1]]
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.string(), pa.string(), pa.float64()))], names=["first_id", "other", "similarity"])
+            exact = np.concatenate([np.round(np.einsum("bd,bd->b", x[part[r[i : i + (1 << 16)]]], x[base[c[i : i + (1 << 16)]]]), 9) for i in range(0, max(1, len(r)), 1 << 16)])
+            keep = exact > floor
+            r, c, exact = r[keep], base[c[keep]], exact[keep]
+            width = starts[c + 1] - starts[c]  # a group of copies stands for all its ids
+            rows = np.repeat(np.arange(len(r)), width)
+            other = np.repeat(starts[c], width) + np.arange(len(rows)) - np.repeat(np.cumsum(width) - width, width)
+            r, s, named = r[rows], exact[rows], names[other]
+            by = np.lexsort((named, -s, r))
+            r = r[by]
+            best = np.arange(len(r)) - np.searchsorted(r, r, "left") <= k
+            out.append((part[r[best]], other[by][best], s[by][best]))
+        a, o, s = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        first, every = t.column("first_id").chunk(0) if t.num_rows else pa.array([], pa.string()), lists.flatten()
+        return pa.Table.from_arrays([first.take(pa.array(a)), every.take(pa.array(o)), pa.array(s)], names=["first_id", "other", "similarity"])
 
     return run
 
 
+def _explode_lists(ids: np.ndarray, read: np.ndarray, stored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, stored) of every list that a row reads or is stored in."""
+    row, column = np.nonzero(read | stored)
+    return row, column, stored[row, column]
+
+
+def _refine(visits: DataFrame, sizes: DataFrame, dim: int) -> DataFrame:
+    """The visits of lists with too many rows as visits of those lists' parts.
+
+    visits (list, first_id, ids, vector, stored, asks, bound); sizes (list, rows, slots).
+    """
+
+    def fit(t: pa.Table) -> pa.Table:
+        x = unit(_matrix(t.column("vector").combine_chunks().cast(pa.list_(pa.float32())), dim))
+        rows = t.column("rows")[0].as_py()
+        parts = fit_centroids(x, max(2, LIST_ROWS // 2 * len(x) // rows))
+        return pa.Table.from_arrays([t.column("list").slice(0, 1), pa.array([parts.ravel()], pa.list_(pa.float32()))], names=["list", "centers"])
+
+    def choose(t: pa.Table, fitted: pa.Table) -> pa.Table:
+        centers = _matrix(fitted.column("centers").combine_chunks(), dim)
+        t = t.combine_chunks()
+        graph, places, kept = build_graph(centers), [], []
+        x, bound = unit(_matrix(t.column("vector").chunk(0), dim)), t.column("bound").to_numpy()
+        stored, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("stored", "asks"))
+        for lo in range(0, len(x), 1024):
+            part = slice(lo, lo + 1024)
+            ids, sims = graph_search(x[part], centers, *graph, beam=min(BEAM, max(8, len(centers))))
+            read, held = choose_lists(ids, sims, centers, bound[part])
+            row, column, holds = _explode_lists(ids, read & asks[part, None], held & stored[part, None])
+            places.append(row + lo)
+            kept.append(np.stack([ids[row, column], holds, read[row, column] & asks[part][row]], axis=1))
+        at, found = np.concatenate(places), np.concatenate(kept).astype(np.int64)
+        out = t.select(["list", "first_id", "ids", "vector"]).take(pa.array(at))
+        key = (out.column("list").to_numpy() + 1) * (1 << 32) + found[:, 0]
+        columns = [pa.array(key), *out.columns[1:], pa.array(found[:, 1] > 0), pa.array(found[:, 2] > 0)]
+        return pa.Table.from_arrays(columns, names=["list", "first_id", "ids", "vector", "stored", "asks"])
+
+    big = visits.join(F.broadcast(sizes), "list")
+    drawn = F.pmod(F.xxhash64("first_id"), F.lit(1 << 20)) < F.lit(FIT_SAMPLE * float(1 << 20)) / F.col("rows")
+    centers = settle(big.where("stored").where(drawn).select("list", "rows", "vector").groupBy("list").applyInArrow(fit, "list bigint, centers array<float>"))
+    slotted = big.withColumn("slot", F.pmod(F.xxhash64("first_id"), F.col("slots")).cast("int")).drop("rows", "slots")
+    copies = centers.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("slots").cast("int") - 1)).alias("slot"), "centers")
+    return slotted.groupBy("list", "slot").cogroup(copies.groupBy("list", "slot")).applyInArrow(choose, "list bigint, first_id string, ids array<string>, vector array<float>, stored boolean, asks boolean")
+
+
 def nearest(df: DataFrame, id: str = "id", vector: str = "embedding", *, k: int = 5, min_similarity: float = 0.0) -> DataFrame:
     """(id, other, similarity): the k most similar others of each id with more than ``min_similarity``."""
     spark = session_of(df)
@@ -211,14 +272,27 @@ def nearest(df: DataFrame, id: str = "id", vector: str = "embedding", *, k: int
                 b = whole.slice(at, 1024)
                 ids, sims = graph_search(unit(_matrix(b.column("vector"), dim)), centers, graph, starts)
                 read, stored = choose_lists(ids, sims, centers)
-                lists = [i[m].tolist() for i, m in zip(ids, read)]
-                holds = [s[m].tolist() for s, m in zip(stored, read)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(holds, pa.list_(pa.bool_()))], names=[*b.schema.names, "lists", "holds"])
-
-    assigned = settle(groups.select("first_id", "ids", "vector").mapInArrow(assign, "first_id string, ids array<string>, vector array<float>, lists array<int>, holds array<boolean>"))
-    visits = F.explode(F.arrays_zip("lists", "holds"))
-    counts = assigned.select(visits.alias("l")).groupBy("l.lists").agg(F.count("*"), F.count_if("l.holds")).collect()  # a row per list
-    blocks = spark.createDataFrame([(r[0], -(-r[1] // BLOCK_ROWS), -(-r[2] // BLOCK_ROWS)) for r in counts], "list int, ask_blocks int, store_blocks int")
+                lists = [i[m].tolist() for i, m in zip(ids, read | stored)]
+                holds = [s[m].tolist() for s, m in zip(stored, read | stored)]
+                bound = np.sqrt(np.maximum(0, 2 - 2 * sims[:, 0].astype(np.float64)))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(holds, pa.list_(pa.bool_())), pa.array(bound)], names=[*b.schema.names, "lists", "holds", "bound"])
+
+    assigned = settle(groups.select("first_id", "ids", "vector").mapInArrow(assign, "first_id string, ids array<string>, vector array<float>, lists array<bigint>, holds array<boolean>, bound double"))
+    counts = assigned.select(F.explode(F.arrays_zip("lists", "holds")).alias("l")).groupBy("l.lists").agg(F.count("*"), F.count_if("l.holds")).collect()  # a row per list of the first level
+    visit = assigned.select("first_id", "ids", "vector", "bound", F.explode(F.arrays_zip("lists", "holds")).alias("l")).select(F.col("l.lists").alias("list"), "first_id", "ids", "vector", F.col("l.holds").alias("stored"), F.lit(True).alias("asks"), "bound")
+    large = [(r[0], r[2], -(-r[1] // SLOT_ROWS)) for r in counts if r[2] > SPLIT_ROWS]
+    columns = ["list", "first_id", "ids", "vector", "stored", "asks"]
+    if large:
+        sizes = spark.createDataFrame(large, "list bigint, rows bigint, slots bigint")
+        small = visit.join(F.broadcast(sizes), "list", "left_anti").select(columns)
+        visit = settle(small.unionByName(_refine(visit, sizes, dim).select(columns)))
+        crowded = visit.groupBy("list").agg(F.count_if("asks").alias("n"), F.count_if("stored").alias("m")).where((F.col("n") > BLOCK_ROWS) | (F.col("m") > BLOCK_ROWS))
+        blocks = settle(crowded.select("list", F.ceil(F.greatest("n", F.lit(1)) / BLOCK_ROWS).cast("int").alias("ask_blocks"), F.ceil(F.greatest("m", F.lit(1)) / BLOCK_ROWS).cast("int").alias("store_blocks")))
+        whole, cut = visit.join(blocks, "list", "left_anti"), visit.join(blocks, "list")
+    else:
+        held = spark.createDataFrame([(r[0], -(-r[1] // BLOCK_ROWS), max(1, -(-r[2] // BLOCK_ROWS))) for r in counts if r[2]], "list bigint, ask_blocks int, store_blocks int")
+        sized = visit.select(columns).join(F.broadcast(held), "list")
+        whole, cut = sized.where("ask_blocks = 1"), sized.where("ask_blocks > 1")
 
     def every(n_blocks: Column) -> Column:
         return F.sequence(F.lit(0), n_blocks - 1)
@@ -226,12 +300,10 @@ def nearest(df: DataFrame, id: str = "id", vector: str = "embedding", *, k: int
     def own(n_blocks: Column) -> Column:
         return F.array(F.pmod(F.xxhash64("first_id"), n_blocks).cast("int"))
 
-    visit = assigned.select("first_id", "ids", "vector", visits.alias("l")).select("first_id", "ids", "vector", F.col("l.lists").alias("list"), F.col("l.holds").alias("stored")).join(F.broadcast(blocks), "list").where("store_blocks > 0")
-    whole = visit.where("ask_blocks = 1").withColumns({"a": F.lit(0), "s": F.lit(0), "asks": F.lit(True)})
-    cut = visit.where("ask_blocks > 1")
-    asking = cut.withColumn("s", F.explode(every(F.col("store_blocks")))).withColumn("a", F.explode(own(F.col("ask_blocks")))).withColumns({"asks": F.lit(True), "stored": F.lit(False)})
+    whole = whole.withColumns({"a": F.lit(0), "s": F.lit(0)})
+    asking = cut.where("asks").withColumn("s", F.explode(every(F.col("store_blocks")))).withColumn("a", F.explode(own(F.col("ask_blocks")))).withColumn("stored", F.lit(False))
     storing = cut.where("stored").withColumn("a", F.explode(every(F.col("ask_blocks")))).withColumn("s", F.explode(own(F.col("store_blocks")))).withColumn("asks", F.lit(False))
-    columns = ["list", "a", "s", "first_id", "ids", "vector", "stored", "asks"]
+    columns = [*columns, "a", "s"]
     units = whole.select(columns).unionByName(asking.select(columns)).unionByName(storing.select(columns))
     found = units.groupBy("list", "a", "s").applyInArrow(_compare(dim, k, min_similarity), "first_id string, other string, similarity double").distinct()
     best = Window.partitionBy("first_id").orderBy(F.desc("similarity"), "other")

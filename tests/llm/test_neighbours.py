@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from energraph.llm import neighbours as nb
 from energraph.llm.neighbours import build_graph, fit_centroids, graph_search, nearest, neighbour_pairs, unit
 
 SCHEMA = "id string, embedding array<float>, vector string, list int, h1 long"
@@ -39,11 +41,26 @@ def test_copies_and_ties(spark):
     assert found(spark, rows, 3, 0.5) == brute(rows, 3, 0.5)
 
 
-def test_recall_with_uneven_density(spark):
+def uneven():
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(40, 24))
     x = np.concatenate([c + rng.normal(size=(n, 24)) * s for c, n, s in zip(centers, rng.integers(10, 160, 40), rng.uniform(0.05, 0.6, 40))]).astype(np.float32)
-    rows = [(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)]
+    return [(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)]
+
+
+def test_recall_with_uneven_density(spark):
+    rows = uneven()
+    true, got = brute(rows, 5, 0.75), found(spark, rows, 5, 0.75)
+    assert len(got & true) >= 0.97 * len(true)
+    assert len(got & true) >= 0.97 * len(got)
+
+
+@pytest.mark.parametrize("block", [4096, 60])
+def test_recall_at_two_levels(spark, monkeypatch, block):
+    """Four lists at the first level for what would take dozens; the parts hold as few rows as lists do."""
+    for name, n in (("MAX_LISTS", 4), ("SPLIT_ROWS", 300), ("SLOT_ROWS", 700), ("BLOCK_ROWS", block)):
+        monkeypatch.setattr(nb, name, n)
+    rows = [*uneven(), *[(f"w{i:03d}", [0.5] * 24) for i in range(40)]]
     true, got = brute(rows, 5, 0.75), found(spark, rows, 5, 0.75)
     assert len(got & true) >= 0.97 * len(true)
     assert len(got & true) >= 0.97 * len(got)

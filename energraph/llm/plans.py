@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from energraph.llm.copies import copies
@@ -11,7 +11,8 @@ from energraph.llm.neighbours import nearest, neighbour_pairs
 from energraph.llm.packing import pack
 from energraph.llm.sampling import stable_sample
 from energraph.llm.sentences import sentences
-from energraph.llm.terms import term_frequencies
+from energraph.llm.terms import WHITESPACE, term_frequencies
+from energraph.runtime import settle
 from energraph.sources.tables import table
 
 
@@ -105,6 +106,17 @@ def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), "doc_id", "text", capacity=2048).withColumnRenamed("key", "doc_id")
 
 
+def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers whatever the tokenizer: every document is in them once, none is overfull or overlaps, and only long documents are cut."""
+    rows = settle(p6_packs(spark, folder))
+    after = Window.partitionBy("container").orderBy("container_offset", "doc_id", "piece")  # at most 2,048 pieces
+    placed = rows.where("container IS NOT NULL").withColumn("next", F.lead("container_offset", 1, 2048).over(after))
+    bad = placed.agg(F.count_if(F.col("container_offset") + F.col("n_tokens") > F.col("next")).alias("overlaps"))
+    whole = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("token_start").alias("last"))
+    wrong = whole.agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("n") / 2048), F.lit(1))).alias("wrongly_cut"), F.count_if((F.col("pieces") - 1) * 2048 != F.col("last")).alias("gaps"))
+    return wrong.join(bad)  # two single rows
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that share a run of 60 letters and digits with an evaluation item."""
     return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"), run=60, q=24)
@@ -122,9 +134,23 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents"), "doc_id", "text", with_text=False).select(F.col("key").alias("doc_id"), "start_at", "end_at").distinct()
 
 
+def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sentences with their number and their restored text."""
+    return sentences(table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("key", "doc_id")
+
+
+def p8_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """The characters of each document's sentences without white space: none may be lost or come twice."""
+    said = F.regexp_replace("sentence", WHITESPACE, "")
+    return p8_sentences(spark, folder).groupBy("doc_id").agg(F.sum(F.char_length(said)).alias("chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_at", said.alias("t")))), lambda x: x["t"]), "")).alias("digest"))
+
+
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+_COVERED = f"SELECT doc_id, CAST(sum(length(w)) AS BIGINT) AS chars, md5(any_value(w)) AS digest FROM (SELECT doc_id, regexp_replace(text, '{_WHITE}', '', 'g') AS w FROM documents WHERE text IS NOT NULL) WHERE w <> '' GROUP BY doc_id"
+
 QUERIES = {
     "p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p4_sample": p4_sample, "p5_found": p5_found,
-    "p5_copies": p5_copies, "p6_packs": p6_packs, "p7_found": p7_found, "p8_found": p8_found,
+    "p5_copies": p5_copies, "p6_packs": p6_packs, "p6_audit": p6_audit, "p7_found": p7_found, "p8_found": p8_found, "p8_sentences": p8_sentences, "p8_coverage": p8_coverage,
 }
 SQL = {
     "p1_found": _TERMS + "SELECT term AS entity, mark FROM marked WHERE mark IS NOT NULL",
@@ -133,5 +159,7 @@ SQL = {
     "p4_sample": _SAMPLE,
     "p5_found": _COPIES + "SELECT keep_id, chunk_id FROM sets WHERE chunk_id <> keep_id",
     "p5_copies": _COPIES + "SELECT keep_id, copies FROM sets WHERE chunk_id = keep_id UNION ALL SELECT chunk_id, 1 FROM keyed WHERE words = '' OR words IS NULL",
+    "p6_audit": "SELECT count(DISTINCT doc_id) AS documents, CAST(0 AS BIGINT) AS wrongly_cut, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS overlaps FROM documents",
     "p7_found": _LEAKS,
+    "p8_coverage": _COVERED,
 }

@@ -76,9 +76,9 @@ def measures_of_lists(lists: DataFrame, hits: DataFrame, sizes: DataFrame, cfg:
     known = found.where("system = 'topk'").select("id", "node", F.col("place").alias("known"))
     each = found.join(known, ["id", "node"], "left").withColumn("k", F.explode(F.array(*map(F.lit, cfg.k_values)))).where("place <= k")
     counts = each.groupBy("id", "system", "k").agg(F.count("*").alias("hit"), F.count_if(F.col("known").isNull() | (F.col("known") > F.col("k"))).alias("fresh"), F.count_if("bridge").alias("bridged"))
-    names = lists.select("system").distinct().withColumn("k", F.explode(F.array(*map(F.lit, cfg.k_values))))
+    systems = sorted(r[0] for r in lists.select("system").distinct().collect())  # a handful
     checked = F.when(F.col("n_gold") > 0, F.col("n_gold")).otherwise(F.raise_error(F.lit("gold must not be empty")).cast("bigint"))
-    grid = sizes.join(F.broadcast(names))  # a few rows a question: the systems times the values of k
+    grid = sizes.withColumn("system", F.explode(F.array(*map(F.lit, systems)).cast("array<string>"))).withColumn("k", F.explode(F.array(*map(F.lit, cfg.k_values))))
     full = grid.join(counts, ["id", "system", "k"], "left").fillna(0, ["hit", "fresh", "bridged"]).withColumns({"recall": F.col("hit") / checked, "novelty": F.col("fresh") / checked})
     bridge = F.when(F.col("n_bridge") > 0, F.col("bridged") / F.col("n_bridge"))
     return full.select("id", "hops", "stop_reason", "system", "k", "recall", "novelty", objective(F.col("recall"), F.col("novelty"), cfg).alias("objective"), bridge.alias("bridge"))

@@ -111,10 +111,11 @@ def p6_audit(spark: SparkSession, folder: str) -> DataFrame:
     rows = settle(p6_packs(spark, folder))
     after = Window.partitionBy("container").orderBy("container_offset", "doc_id", "piece")  # at most 2,048 pieces
     placed = rows.where("container IS NOT NULL").withColumn("next", F.lead("container_offset", 1, 2048).over(after))
-    bad = placed.agg(F.count_if(F.col("container_offset") + F.col("n_tokens") > F.col("next")).alias("overlaps"))
+    none = F.lit(0).cast("bigint")
+    bad = placed.agg(F.count_if(F.col("container_offset") + F.col("n_tokens") > F.col("next")).alias("overlaps")).select(none.alias("documents"), none.alias("wrongly_cut"), none.alias("gaps"), "overlaps")
     whole = rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("token_start").alias("last"))
     wrong = whole.agg(F.count("*").alias("documents"), F.count_if(F.col("pieces") != F.greatest(F.ceil(F.col("n") / 2048), F.lit(1))).alias("wrongly_cut"), F.count_if((F.col("pieces") - 1) * 2048 != F.col("last")).alias("gaps"))
-    return wrong.join(bad)  # two single rows
+    return wrong.withColumn("overlaps", none).unionByName(bad).agg(*[F.sum(c).alias(c) for c in ("documents", "wrongly_cut", "gaps", "overlaps")])
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

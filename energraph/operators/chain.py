@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from energraph.config import ColoredRetrievalConfig, EvaluationConfig, IterativeBaselineConfig, need
-from energraph.functions.text import parse_answer, parse_subqueries, passage_of
+from energraph.functions.text import first_sentence, parse_answer, parse_subqueries, passage_of
 from energraph.operators.evaluation import iterative_retrieve, rankings, topk_retrieve
+from energraph.operators.models import TEMPLATES, prompts
 from energraph.operators.retrieve import Retrieval, retrieve
 from energraph.operators.search import top_k
 from energraph.runtime import settle
@@ -73,6 +74,31 @@ def colored_web(questions: DataFrame, vectors: DataFrame, adj: DataFrame, passag
     return run, texts.join(said, "qid", "left")
 
 
+def passages_prompt(held: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, prompt): the question and its passages found so far, best first; propositions stand for theirs, each passage comes once.
+
+    held: (qid, node, score, step); passages: (id, title, text); questions: (qid, question).
+    """
+    best = held.withColumn("id", passage_of(F.col("node"))).groupBy("qid", "id").agg(F.min(F.struct((-F.col("score")).alias("s"), "step", "node")).alias("place"))
+    told = best.join(passages.select("id", F.concat_ws(": ", F.coalesce("title", "id"), "text").alias("told")), "id").groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "told"))), lambda x: x["told"]), "\n\n").alias("passages"))
+    return questions.join(told, "qid", "left").select("qid", prompts(TEMPLATES["next"], passages=F.coalesce("passages", F.lit("")), question=F.col("question")).alias("prompt"))
+
+
+def sentence_rewriter(questions: DataFrame, passages: DataFrame, ask: Ask, embed: Embed, cfg: IterativeBaselineConfig = IterativeBaselineConfig()):
+    """A ``rewrite`` for ``iterative_retrieve``: the first sentence of the reply is the next query.
+
+    A query ends with an empty sentence or one that holds the stop phrase in any case.
+    """
+
+    def rewrite(open_: DataFrame, held: DataFrame, step: int) -> DataFrame:
+        going = questions.join(open_.select("qid"), "qid", "left_semi")
+        said = ask(passages_prompt(held, passages, going)).select("qid", first_sentence(F.col("reply")).alias("text"))
+        more = settle(said.where((F.col("text") != "") & ~F.lower("text").contains(cfg.stop_phrase.lower())))
+        return embedded(more, embed).select("qid", "embedding")
+
+    return rewrite
+
+
 def evaluate_questions(questions: DataFrame, vectors: DataFrame, web: Retrieval, embed: Embed, rewrite=None, cfg: EvaluationConfig = EvaluationConfig(), iterative: IterativeBaselineConfig = IterativeBaselineConfig()) -> DataFrame:
     """The per-query table of ``measures``: (id, hops, gold, bridge_gold, stop_reason, hops_used, n_activated, topk, web[, iterative]).
 

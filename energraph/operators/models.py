@@ -36,8 +36,9 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Callable[[pd.DataFrame], lis
             for w in (text or "").lower().split():
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
                 v[h % dim] += 1 if h >> 63 else -1
-            n = np.linalg.norm(v)
-            return (v / n if n else v).astype(np.float32)
+            if not v.any():  # no words, or words that cancel out
+                v[0] = 1
+            return (v / np.linalg.norm(v)).astype(np.float32)
 
         return lambda b: [one(t) for t in b.iloc[:, 0]]
 

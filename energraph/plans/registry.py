@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from energraph.plans import layers, references, waves
+from energraph.plans import builds, layers, references, waves
 
-PARTS = [references, layers, waves]
+PARTS = [references, layers, waves, builds]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

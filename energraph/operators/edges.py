@@ -72,17 +72,22 @@ def entity_members(entities: DataFrame, cfg: EntityEdgeConfig = EntityEdgeConfig
     return mentions(entities).join(entity_frequency(entities, cfg.max_df_ratio), "entity").select("entity", "node_id", "df")
 
 
+#: Unit of the sums of 1 / df: whole numbers add up alike in any order, and partial sums stay small.
+UNIT = 1 << 50
+
+
 def entity_edges(entities: DataFrame, cfg: EntityEdgeConfig = EntityEdgeConfig()) -> DataFrame:
-    """(u, v, w): 1/df summed over shared entities, in the order of their names.
+    """(u, v, w): 1/df summed over shared entities, the same in every run and layout.
 
     entities: (node_id, entities array), one row per node, empty arrays included. The frequency
     guard runs before the join. Every pair of an entity comes out, so the result grows with the
-    square of the most frequent entities' df; ``entity_members`` is the linear form.
+    square of the most frequent entities' df; ``entity_members`` is the linear form. Nothing but
+    the pair and a number is shuffled, after partial sums.
     """
     own = entity_members(entities, cfg).select("entity", F.col("node_id").alias("id"), "df")
-    shared = pairs_within(own, ["entity", "df"], F.col("df")).select("u", "v", F.struct("entity", (F.lit(1.0) / F.col("df")).alias("w")).alias("s"))
-    terms = F.array_sort(F.collect_list("s"))
-    return shared.groupBy("u", "v").agg(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["w"]).alias("w"))
+    share = F.round(F.lit(float(UNIT)) / F.col("df")).cast("bigint")
+    shared = pairs_within(own, ["entity", "df"], F.col("df")).select("u", "v", share.alias("s"))
+    return shared.groupBy("u", "v").agg((F.sum("s") / F.lit(float(UNIT))).alias("w"))
 
 
 _STEPS = pa.schema([("part", pa.int32()), ("place", pa.string()), ("source_id", pa.string()), ("position", pa.int64()), ("a", pa.string()), ("b", pa.string())])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from energraph.config import EntityEdgeConfig
 from energraph.operators import edges as eb
 from energraph.operators import shared as sh
+from energraph.plans import layers
 
 
 def drawn(n=60, names=25):
@@ -54,3 +55,11 @@ def test_rounding_is_that_of_the_engine(spark):
     x = [1 / 128, 3 / 128, 1 / 3, 2 / 3, 0.5, 1e-9, 0.0000005, 0.1234565, 1.0000005, 5 / 640] + [1 / n + 1 / m for n in range(2, 400, 7) for m in range(2, 400, 11)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert sh.rounded(np.array(x), 6).tolist() == want
+
+
+def test_a_layer_that_is_off_is_not_computed(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([("a", "s", 0, None), ("b", "s", 1, None)], "chunk_id string, source_id string, pos int, section_id string").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([("a#0", "a")], "id string, chunk_id string").write.parquet(f"{tmp_path}/propositions.parquet")
+    monkeypatch.setattr(eb, "entity_edges", lambda *_: pytest.fail("the entity layer is off"))
+    got = {(r.src, r.dst): r.w for r in layers.merge_layers_disabled(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 0.3, ("b", "a"): 0.3, ("a", "a#0"): 1.0, ("a#0", "a"): 1.0}

@@ -128,15 +128,8 @@ def _texts(spark, folder):
 
 
 def nli_subject_pairs(spark, folder):
-    """Entity-sharing propositions that name a rare shared entity in their first characters.
-
-    A pair that shares an entity this rare is an edge of the layer with that guard already, so the
-    pairs that only more frequent entities make are left out before the join; none would be kept.
-    """
-    cfg, p = NLICandidateConfig(), _texts(spark, folder)
-    own = one_per_node(spark, folder)
-    pairs = eb.entity_edges(own, EntityEdgeConfig(cfg.max_subject_df_ratio)).join(p.select(F.col("id").alias("u")), "u", "left_semi").join(p.select(F.col("id").alias("v")), "v", "left_semi").select(F.concat_ws("\t", "u", "v").alias("ord"), F.col("u").alias("a"), F.col("v").alias("b"))
-    return eb.shared_subject_pairs(pairs, p, own, cfg).select("a", "b")
+    """Entity-sharing propositions that name a rare shared entity in their first characters."""
+    return eb.subject_pairs(_texts(spark, folder), one_per_node(spark, folder), NLICandidateConfig())
 
 
 def nli_candidates(spark, folder):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from energraph.config import EntityEdgeConfig
+from energraph.config import EntityEdgeConfig, NLICandidateConfig
 from energraph.operators import edges as eb
 from energraph.operators import shared as sh
 from energraph.plans import builds, layers
@@ -65,6 +65,13 @@ def test_a_layer_that_is_off_is_not_computed(spark, monkeypatch, tmp_path):
     assert got == {("a", "b"): 0.3, ("b", "a"): 0.3, ("a", "a#0"): 1.0, ("a#0", "a"): 1.0}
 
 
+def test_subject_pairs_make_no_other_pairs(spark, monkeypatch):
+    texts = spark.createDataFrame([("a", "Radio Alpha is old"), ("b", "Some radio alpha plays"), ("c", "x" * 50 + " radio alpha"), ("d", None)], "id string, text string")
+    e = spark.createDataFrame([(x, ["radio alpha"]) for x in "abcd"], "node_id string, entities array<string>")
+    monkeypatch.setattr(eb, "entity_edges", lambda *_: pytest.fail("pairs that share anything are not asked for"))
+    assert [tuple(r) for r in eb.subject_pairs(texts, e, NLICandidateConfig(max_subject_df_ratio=1.0)).collect()] == [("a", "b")]
+
+
 def test_the_nodes_of_an_index_need_no_later_stage(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(builds, "_capital_words", lambda _: pytest.fail("the names are not read"))
     text = "Baikal is a deep lake. It never freezes over here.\nIt lies in Siberia"

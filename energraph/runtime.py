@@ -14,7 +14,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,18 +126,34 @@ def read_settled(spark: SparkSession, path: str, schema) -> DataFrame:
     return out
 
 
-def read_files(path: str, columns: list[str]):
-    """The Parquet files below a path of the shared folder as an Arrow table, read by the task itself."""
+def _opened(path: str):
     import re
 
-    import pyarrow.parquet as pq
     from pyarrow import fs
 
     uri = re.sub("^s3[an]:", "s3:", re.sub("^file:/*", "file:///", path))
-    system, where = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def read_files(path: str, columns: list[str]):
+    """The Parquet files below a path of the shared folder as an Arrow table, read by the task itself."""
+    import pyarrow.parquet as pq
+
+    system, where = _opened(path)
     return pq.read_table(where, columns=columns, filesystem=system, partitioning=None)
 
 
+def read_batches(path: str, columns: list[str], rows: int) -> Iterator:
+    """The same files batch by batch, of which no more than one is held."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, where = _opened(path)
+    for f in sorted(x.path for x in system.get_file_info(fs.FileSelector(where, recursive=True)) if x.path.endswith(".parquet")):
+        with system.open_input_file(f) as opened:
+            yield from pq.ParquetFile(opened).iter_batches(rows, columns=columns)
+
+
 def settle(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the reader of it."""
     spark = session_of(df)

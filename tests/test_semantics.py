@@ -41,6 +41,20 @@ def test_both_ways_of_search_agree(spark, monkeypatch):
     assert {(r.qid, r.node, round(r.score, 9), r.rank) for r in se.top_k(q, v, 7, skip_self=True).collect()} == few and len(few) == 280
 
 
+def test_many_queries_move_no_vector(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e-30, 1e30):  # the outer ones are beyond single precision
+        x, y = rng.normal(size=(700, 5)) * scale, rng.normal(size=(60, 5))
+        x[350:] = x[:350]  # every score twice
+        v, q = vec(spark, [(f"v{i:03d}", r) for i, r in enumerate(x)]), vec(spark, [(f"q{i}", r) for i, r in enumerate(y)], "qid")
+        monkeypatch.setattr(se, "BROADCAST_NUMBERS", 0)
+        found = se.top_k(q, v, 3)
+        assert "CoGroups" not in found._jdf.queryExecution().toString() and se.top_k(q, v, 1).count() == 60
+        assert len(se._stored[v]) == 1  # two searches, one set of files
+        order = [sorted(range(700), key=lambda j, s=np.einsum("bd,bd->b", np.tile(r, (700, 1)), x): (-s[j], j))[:3] for r in y]
+        assert {(r.qid, r.rank): r.node for r in found.collect()} == {(f"q{i}", n + 1): f"v{j:03d}" for i, o in enumerate(order) for n, j in enumerate(o)}
+
+
 def test_semantic_edges_refuse_zero_and_take_other_neighbours(spark):
     with pytest.raises(Exception, match="no direction"):
         eb.semantic_edges(vec(spark, [("a", [1, 0]), ("z", [0, 0])])).collect()

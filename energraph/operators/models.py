@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,11 +32,16 @@ def hashing_embedder(dim: int = 64) -> Callable[[], Callable[[pd.DataFrame], lis
     """Unit vectors from hashed words."""
 
     def make() -> Callable[[pd.DataFrame], list]:
+        @lru_cache(1 << 18)
+        def place(w: str) -> tuple[int, int]:
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            return h % dim, 1 if h >> 63 else -1
+
         def one(text: str) -> np.ndarray:
             v = np.zeros(dim)
-            for w in (text or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % dim] += 1 if h >> 63 else -1
+            if words := (text or "").lower().split():
+                at, sign = zip(*map(place, words))
+                v += np.bincount(at, sign, dim)
             if not v.any():  # no words, or words that cancel out
                 v[0] = 1
             return (v / np.linalg.norm(v)).astype(np.float32)

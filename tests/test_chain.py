@@ -1,6 +1,8 @@
+import pandas as pd
 from pyspark.sql import functions as F
 
 from energraph.config import ColoredRetrievalConfig, EvaluationConfig, PropagationConfig
+from energraph.operators import models as md
 from energraph.operators import evaluation as ev
 from energraph.operators.chain import chained_queries, colored_web, evaluate_questions
 from energraph.operators.graph import from_edges
@@ -39,3 +41,10 @@ def test_the_web_beats_dense_search(spark):
     per = evaluate_questions(q, v, web, embed, cfg=EvaluationConfig(k_values=(2,)))
     got = {r.system: r.recall for r in ev.report(ev.measures(per, EvaluationConfig(k_values=(2,)))).collect()}
     assert got == {"topk": 0.5, "web": 1.0}
+
+
+def test_hashed_words_are_looked_up_once(monkeypatch):
+    calls, real = [], md.hashlib.blake2b
+    monkeypatch.setattr(md.hashlib, "blake2b", lambda *a, **k: calls.append(a) or real(*a, **k))
+    got = md.hashing_embedder(8)()(pd.DataFrame({"text": ["lake a lake", "A lake", None]}))
+    assert len(calls) == 2 and [x.shape for x in got] == [(8,)] * 3 and got[2][0] == 1

@@ -104,7 +104,7 @@ def evaluate_questions(questions: DataFrame, vectors: DataFrame, web: Retrieval,
 
     questions: (qid, question, hops, gold, bridge_gold).
     """
-    asked = embedded(questions.select("qid", F.col("question").alias("text")), embed).select("qid", "embedding")
+    asked = settle(embedded(questions.select("qid", F.col("question").alias("text")), embed).select("qid", "embedding"))  # searched twice
     top = topk_retrieve(asked, vectors, max(cfg.k_values)).withColumnRenamed("ranking", "topk")
     lit = rankings(web.bundle.ranked()).withColumnRenamed("ranking", "web")
     ends = web.bundle.runs.groupBy("qid").agg(F.max("hops_used").alias("hops_used"), F.max_by("stop_reason", "hops_used").alias("stop_reason"))

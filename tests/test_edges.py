@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from energraph.config import PROFILES, ColoredRetrievalConfig, ConsolidationConfig, EntityEdgeConfig, EvaluationConfig, LayerWeights, MassConfig, NLICandidateConfig, PropagationConfig, SemanticEdgeConfig, StructuralEdgeConfig
 from energraph.operators import edges as eb
@@ -102,3 +103,20 @@ def test_bounds(make):
     with pytest.raises(ValueError):
         make()
     assert PROFILES["precise"].retrieval().seed_width == 3
+
+
+def test_layers_merged_where_pairs_are_made(spark, monkeypatch):
+    from energraph.operators import shared
+
+    e = entities(spark, [(f"n{i:02d}", [f"e{i % 3}", f"f{i % 5}", "x"][: 1 + i % 3]) for i in range(40)] + [("lone", [])])
+    rows = [("structural", f"n{i:02d}", f"n{i + 1:02d}", 1.0, 0) for i in range(39)] + [("derivation", "n05", "n02", 0.01, 0), ("derivation", "n02", "n05", 0.3, 1), ("derivation", "lone", "n01", 1.0, 0), ("derivation", "p", "q", 0.0, 0), ("structural", "p", "q", 0.0, 0), ("structural", "n03", "n03", 1.0, 0)]
+    others = spark.createDataFrame(rows, "layer string, u string, v string, w double, ord long")
+    cfg = EntityEdgeConfig(0.5)
+    every = others.unionByName(eb.entity_edges(e, cfg).select(F.lit("entity").alias("layer"), "u", "v", "w", F.lit(0).cast("long").alias("ord")))
+    for name, n in (("UNIT_PAIRS", 20), ("BLOCK_MEMBERS", 11), ("SLICE", 13), ("BATCH", 5)):
+        monkeypatch.setattr(shared, name, n)
+    for weights in (LayerWeights(), LayerWeights(structural=0.0, derivation=0.0), LayerWeights(entity=0.0), LayerWeights(entity=0.01)):
+        merged = gr.from_layers_and_members(others, eb.entity_members(e, cfg), weights, 6)
+        assert sorted(map(tuple, merged.collect())) == sorted((r.src, r.dst, round(r.w, 6)) for r in gr.from_layers(every, weights).collect())
+        layers = gr.dominant_layer_with_members(others, eb.entity_members(e, cfg), weights)
+        assert sorted(map(tuple, layers.collect())) == sorted(map(tuple, gr.dominant_layer(every, weights).collect()))

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from energraph.config import LayerWeights, need
-from energraph.operators.graph import check_edges, check_unique, from_layers
+from energraph.operators.graph import check_edges, check_unique, from_layers, from_layers_and_members
+from energraph.operators.shared import shared_pairs
+from energraph.runtime import remove
 
 STAGES = ("nodes", "vectors", "entities", "propositions", "edges", "negative_edges", "meta", "llm_cache", "per_query", "results", "learned", "usage")
 
@@ -24,8 +26,16 @@ class Index:
         need(stage in STAGES, f"unknown stage {stage}")
         return f"{self.root}/{stage}"
 
+    @property
+    def members_path(self) -> str:
+        """A part of the stage edges, written before it."""
+        return f"{self.root}/edges_members"
+
     def has(self, stage: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/_SUCCESS")
+        return self._there(self.path(stage))
+
+    def _there(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def available(self) -> list[str]:
@@ -60,9 +70,25 @@ class Index:
         have = set(df.columns)
         return df.withColumn("polarity", F.coalesce("polarity", F.lit(1)) if "polarity" in have else F.lit(1))
 
-    def graph(self, weights: LayerWeights = LayerWeights()) -> DataFrame:
-        """The layers merged under the given weights; layers of weight 0 are not read."""
-        return from_layers(self.read("edges"), weights)
+    def graph(self, weights: LayerWeights = LayerWeights(), digits: int | None = None) -> DataFrame:
+        """The layers merged under the given weights; layers of weight 0 are not read. ``digits`` rounds w."""
+        members = self.members()
+        if members is not None:
+            return from_layers_and_members(self.read("edges"), members, weights, digits)
+        plain = from_layers(self.read("edges"), weights)  # an index whose edges hold the pairs of the entity layer
+        return plain if digits is None else plain.select("src", "dst", F.round("w", digits).alias("w"))
+
+    def members(self) -> DataFrame | None:
+        """(entity, node_id, df): the entity layer as it is stored, linear where its pairs are not."""
+        return self.spark.read.parquet(self.members_path) if self._there(self.members_path) else None
+
+    def edges(self) -> DataFrame:
+        """(layer, u, v, w, ord): the edges of every layer, those of the entity layer made from its members."""
+        members, stored = self.members(), self.read("edges")
+        if members is None:
+            return stored
+        pairs = shared_pairs(members.withColumnRenamed("node_id", "id"))
+        return stored.select("layer", "u", "v", "w", "ord").unionByName(pairs.select(F.lit("entity").alias("layer"), "u", "v", "w", F.lit(0).cast("long").alias("ord")))
 
     def negative_edges(self) -> DataFrame:
         return self.read_or_empty("negative_edges", "a string, b string, strength double")
@@ -81,6 +107,8 @@ class Index:
 
     def write_edges(self, edges: DataFrame, *, force: bool = False) -> bool:
         check_edges(edges)
+        if force or not self.has("edges"):  # else the members of another build would stand for the given entity layer
+            remove(self.spark, self.members_path)
         return self.write("edges", edges, force=force, partition_by="layer")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from energraph.__main__ import main
-from energraph.config import EvaluationConfig, IterativeBaselineConfig, NLICandidateConfig, PropagationConfig
+from energraph.config import EntityEdgeConfig, EvaluationConfig, IterativeBaselineConfig, LayerWeights, NLICandidateConfig, PropagationConfig
 from energraph.operators import evaluation as ev
 from energraph.operators import models as md
 from energraph.operators.chain import passages_prompt, sentence_rewriter
@@ -63,6 +63,17 @@ def test_index_from_documents_to_graph(spark, tmp_path):
     assert index.graph().count() > 0
 
 
+def test_index_stores_no_pair_of_entities(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", [("Baikal and Olkhon lie in Siberia", None)] * 2) for i in range(4)] + [(f"x{i}", [("nothing", None)] * 3) for i in range(4)], "source_id string, units array<struct<text:string,section_id:string>>")
+    index = Index(spark, str(tmp_path))
+    build_index(index, docs, Models(lambda t: md.embed(t, "passage"), capital), IndexConfig(entity=EntityEdgeConfig(1.0)))
+    assert index.read("edges").where("layer = 'entity'").count() == 0
+    assert index.edges().where("layer = 'entity'").count() == 8 * 7 // 2
+    for weights in (LayerWeights(), LayerWeights(semantic=0.0), LayerWeights(entity=0.0)):
+        got, want = ({(r.src, r.dst): round(r.w, 9) for r in g.collect()} for g in (index.graph(weights), from_layers(index.edges(), weights)))
+        assert got == want and got
+
+
 def test_one_call_shows_a_run(spark):
     layers = spark.createDataFrame([("structural", "a", "b", 1.0, 0), ("entity", "b", "c", 0.5, 0), ("structural", "x", "y", 1.0, 0)], "layer string, u string, v string, w double, ord long")
     adj = from_layers(layers)

@@ -120,3 +120,15 @@ def test_layers_merged_where_pairs_are_made(spark, monkeypatch):
         assert sorted(map(tuple, merged.collect())) == sorted((r.src, r.dst, round(r.w, 6)) for r in gr.from_layers(every, weights).collect())
         layers = gr.dominant_layer_with_members(others, eb.entity_members(e, cfg), weights)
         assert sorted(map(tuple, layers.collect())) == sorted(map(tuple, gr.dominant_layer(every, weights).collect()))
+
+
+def test_rarest_names_come_as_places():
+    import numpy as np
+
+    from energraph.operators.shared import _slices
+
+    code, node = np.array([7, 9, 7, 9, 9]), np.array([0, 0, 1, 1, 2])
+    by = np.argsort(code, kind="stable")
+    block = {"ids": ["a", "b", "c"], "node": node, "code": code, "df": np.where(code == 7, 2, 3), "name_code": code[by], "name_node": node[by], "code_at": np.array([5, 7, 9])}
+    ((u, v, _, place),) = _slices(block, block, True)
+    assert list(zip(u.tolist(), v.tolist(), place.tolist())) == [(0, 1, 1), (0, 2, 2), (1, 2, 2)]

@@ -51,6 +51,38 @@ def test_no_pair_is_shuffled(spark):
         assert not any(x in above for x in ("Aggregate", "Join", "Sort"))
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have shuffled so far."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_names_are_not_shuffled_with_ids(spark):
+    """Before pairs are made, a mention moves once, as 8 bytes beside its node's others."""
+    names = ", ".join(f"md5(CAST((id * {k} + {k}) % 4001 AS STRING))" for k in (3, 5, 7, 11))
+    e = spark.range(0, 20_000, 1, 2).selectExpr("format_string('n%06d', id) AS node_id", f"array({names}) AS entities")
+    before = shuffled(spark)
+    eb.entity_labels(e, EntityEdgeConfig(1.0))
+    assert shuffled(spark) - before < 20_000 * 4 * 70
+
+
+def test_two_names_with_one_key(spark, monkeypatch):
+    """Another seed is taken if keys of names meet."""
+    own = drawn()
+    e = spark.createDataFrame(list(own.items()), "node_id string, entities array<string>")
+    hash_, seeds = sh.F.xxhash64, []
+
+    def meeting(*cols):
+        seeds.append(len(seeds))
+        return F.lit(1).cast("bigint") if len(seeds) == 1 else hash_(*cols)
+
+    monkeypatch.setattr(sh.F, "xxhash64", meeting)
+    got = {(r.u, r.v): r.label for r in eb.entity_labels(e, EntityEdgeConfig(1.0)).collect()}
+    assert got == expected(own)[1] and len(seeds) >= 3
+
+
 def test_rounding_is_that_of_the_engine(spark):
     x = [1 / 128, 3 / 128, 1 / 3, 2 / 3, 0.5, 1e-9, 0.0000005, 0.1234565, 1.0000005, 5 / 640] + [1 / n + 1 / m for n in range(2, 400, 7) for m in range(2, 400, 11)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]

@@ -83,6 +83,18 @@ def test_two_names_with_one_key(spark, monkeypatch):
     assert got == expected(own)[1] and len(seeds) >= 3
 
 
+@pytest.mark.parametrize("query", [layers.merge_layers])
+def test_layers_meet_names_that_move_once(spark, tmp_path, query):
+    """Nor do the queries that merge layers shuffle a name for each mention."""
+    spark.createDataFrame([("n000001", "s", 0, None), ("n000002", "s", 1, None)], "chunk_id string, source_id string, pos int, section_id string").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([("n000003", "n000001")], "id string, chunk_id string").write.parquet(f"{tmp_path}/propositions.parquet")
+    names = ", ".join(f"md5(CAST((id * {k} + {k}) % 4001 AS STRING))" for k in (3, 5, 7, 11))
+    spark.range(0, 20_000, 1, 2).selectExpr("format_string('n%06d', id) AS node_id", f"array({names}) AS entities", "TIMESTAMP '2026-01-01' AS loaded_at").write.parquet(f"{tmp_path}/entities.parquet")
+    before = shuffled(spark)
+    query(spark, str(tmp_path))
+    assert shuffled(spark) - before < 20_000 * 4 * 100
+
+
 def test_rounding_is_that_of_the_engine(spark):
     x = [1 / 128, 3 / 128, 1 / 3, 2 / 3, 0.5, 1e-9, 0.0000005, 0.1234565, 1.0000005, 5 / 640] + [1 / n + 1 / m for n in range(2, 400, 7) for m in range(2, 400, 11)]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]

@@ -83,7 +83,7 @@ def test_two_names_with_one_key(spark, monkeypatch):
     assert got == expected(own)[1] and len(seeds) >= 3
 
 
-@pytest.mark.parametrize("query", [layers.merge_layers])
+@pytest.mark.parametrize("query", [layers.merge_layers, layers.layer_of_edge])
 def test_layers_meet_names_that_move_once(spark, tmp_path, query):
     """Nor do the queries that merge layers shuffle a name for each mention."""
     spark.createDataFrame([("n000001", "s", 0, None), ("n000002", "s", 1, None)], "chunk_id string, source_id string, pos int, section_id string").write.parquet(f"{tmp_path}/passages.parquet")
